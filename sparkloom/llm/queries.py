@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import langid, line_dedup, mixing, packing, sharding, url_filter
 
 URL_RULES = (
     url_filter.Rule("allow", "com", "/"),
@@ -22,6 +22,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    first = F.get("mix_positions", F.lit(0))
+    light = plan.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        F.col("mix_taken").alias("taken"), first.alias("position"),
+    )
+    # What is not taken stands after the end of training, spread out.
+    at = F.coalesce("position", 1 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20))
+    return light.repartitionByRange(at).sortWithinPartitions(at)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
@@ -53,6 +65,11 @@ SELECT page_id, host, path, rule,
 FROM parts JOIN hits USING (page_id) LEFT JOIN best USING (page_id)"""
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_read(spark, sf_dir, "documents"), 40, law="rows")
+    return placed.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 LINE_RATIO, LINE_MIN_PAGES = 0.1, 3
 
 
@@ -77,8 +94,29 @@ SELECT doc_id, source, count(*) FILTER (WHERE bad) AS n_dropped,
 FROM marked GROUP BY doc_id, source"""
 
 
+SEQUENCE = 4096
+
+
+def word_tokenizer() -> str:
+    """The path of the public word-level BPE vocabulary, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), word_tokenizer(), length=SEQUENCE)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = langid.fit(langid.training_rows(docs))
+    out = langid.identify(docs.select("doc_id", "text"), filters)
+    return out.select("doc_id", F.coalesce(langid.remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op6_sharding, op7_line_dedup, op8_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

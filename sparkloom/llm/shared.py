@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -70,3 +71,11 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def worker_cache(key: tuple, make):
+    """What make() gives, kept for key as long as this Python worker lives (functions travel by value, modules' globals don't stay)."""
+    kept = sys.modules.setdefault("_sparkloom_worker", types.ModuleType("_sparkloom_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
