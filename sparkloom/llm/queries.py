@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, packing, sharding, url_filter
+from . import ann, embed_join, langid, line_dedup, minhash, mixing, packing, sharding, url_filter
 
 URL_RULES = (
     url_filter.Rule("allow", "com", "/"),
@@ -65,6 +65,30 @@ SELECT page_id, host, path, rule,
 FROM parts JOIN hits USING (page_id) LEFT JOIN best USING (page_id)"""
 
 
+SIMILARITY = 0.8
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), SIMILARITY)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.near_vectors(_read(spark, sf_dir, "embeddings"), 0.98)
+
+
+_OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.id = vec_id"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_read(spark, sf_dir, "documents"), 40, law="rows")
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
@@ -108,6 +132,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), word_tokenizer(), length=SEQUENCE)
 
 
+ANN_FACTOR = 0.3
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, factor=ANN_FACTOR)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     filters = langid.fit(langid.training_rows(docs))
@@ -116,8 +147,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op6_sharding, op7_line_dedup, op8_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_minhash_dedup, op4_embedding_dedup, op6_sharding, op7_line_dedup, op8_packing, op9_nearest, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql(), "op7_line_dedup": _OP7_SQL}
+    return {"op2_url_filter": _op2_sql(), "op4_embedding_dedup": _OP4_SQL, "op7_line_dedup": _OP7_SQL}

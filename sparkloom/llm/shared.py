@@ -79,3 +79,8 @@ def worker_cache(key: tuple, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def renewed(df: DataFrame) -> DataFrame:
+    """df with columns of its own, so that it can be cogrouped with what it stems from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
