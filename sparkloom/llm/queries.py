@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_join, langid, line_dedup, minhash, mixing, packing, sharding, url_filter
+from . import ann, embed_join, langid, line_dedup, minhash, mixing, packing, sharding, suffix_dedup, url_filter
 
 URL_RULES = (
     url_filter.Rule("allow", "com", "/"),
@@ -89,6 +89,11 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id
 FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.id = vec_id"""
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), 200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_read(spark, sf_dir, "documents"), 40, law="rows")
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
@@ -147,7 +152,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_minhash_dedup, op4_embedding_dedup, op6_sharding, op7_line_dedup, op8_packing, op9_nearest, op10_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_minhash_dedup, op4_embedding_dedup, op5_suffix_dedup, op6_sharding, op7_line_dedup, op8_packing, op9_nearest, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
