@@ -2,57 +2,81 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage, worker_cache
 
-# The tokenizer never joins what stands on both sides of these.
-_BLANKS = str.maketrans("\n\t\r", "   ")
 _FULL = 1_200_000
+# What the vocabulary's file says of splitting a lower-cased text into pieces; white space is dropped.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
+# Texts with these go through the library whole: its lower-casing, spaces or byte names differ from Python's.
+_ODD = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u0130\u03a3\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000]")
 
 
 class WordEncoder:
     """A tokenizer's ids of a text, as unsigned 16- or 32-bit little-endian bytes.
 
-    The tokenizers this serves drop white space and never join two words, so a text's ids are its words'
-    ids in a row. Each new word is encoded by the library once and kept; at _FULL words the store
-    starts anew, so memory is bounded. Texts that hold the string of a special token go through
-    the library whole.
+    The file's normalizer (NFC, blanks, lower case) and splitter are followed here, by the same pattern, and each new
+    piece is encoded by the library's model once and kept; at _FULL pieces the store starts anew, so memory is
+    bounded. Texts for which that isn't sure to be the same go through the library whole, and so do all if the file's
+    pattern is another.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > _FULL:
-            self.words = {"": b""}
-        out: list[bytes] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out += self._ids([text])
-                continue
-            # Letters outside ASCII may be composed by the library; those texts keep their case.
-            words = (text.lower() if text.isascii() else text).translate(_BLANKS).split(" ")
-            if new := list(set(words).difference(self.words)):
-                self.words.update(zip(new, self._ids(new), strict=True))
-            out.append(b"".join(map(self.words.__getitem__, words)))
-        return out
+        self.pieces: dict[str, bytes] = {}
+        self.split = regex.compile(_SPLIT)
+        said = json.loads(self.library.to_str())
+        kinds = [n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])]
+        patterns = [p["pattern"].get("Regex") for p in (said["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.known = kinds == ["NFC", "Replace", "Lowercase"] and patterns == [_SPLIT]
+        # How byte-level models spell bytes: printable ones as they are, the rest from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self.spelled = {b: 256 + i for i, b in enumerate(rest)}
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece.encode("utf-8").decode("latin-1").translate(self.spelled)
+        ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not self.known or any(s in text for s in self.special) or _ODD.search(text):
+            return self._whole(text)
+        if text.isascii():
+            found = _ASCII_SPLIT.findall(text.lower().replace("\n", " ").replace("\t", " "))
+        elif unicodedata.is_normalized("NFC", text):
+            found = self.split.findall(text.lower())
+        else:
+            return self._whole(text)
+        if len(self.pieces) > _FULL:
+            self.pieces = {}
+        known = self.pieces
+        try:
+            return b"".join([known[p] for p in found])
+        except KeyError:
+            return b"".join([known[p] if p in known else self._piece(p) for p in found])
 
 
 def encode_documents(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
@@ -65,7 +89,7 @@ def encode_documents(df: DataFrame, tokenizer: str, *, id: str = "doc_id", text:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                ids = [x + end for x in encoder.encode([t or "" for t in piece.column(1).to_pylist()])]
+                ids = [encoder.encode(t or "") + end for t in piece.column(1).to_pylist()]
                 n = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
