@@ -1 +1,8 @@
 """A PySpark-native corpus preparation engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions themselves, so they need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

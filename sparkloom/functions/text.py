@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FORMS = ("nfc", "nfd", "nfkc", "nfkd")
 # Fixed value: the byte-level splitter of public byte-pair tokenizers, in Java's syntax.
@@ -25,7 +26,7 @@ def unicode_form(form: str):
     if form not in FORMS:
         raise ValueError(f"unknown unicode form: {form}")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else unicodedata.normalize(form.upper(), t))
 
@@ -92,7 +93,7 @@ def strip_tags(html: str | None) -> str | None:
     return "".join(parser.found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_html(html: pd.Series) -> pd.Series:
     """strip_tags on a column: for any HTML."""
     return html.map(strip_tags)

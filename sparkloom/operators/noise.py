@@ -13,6 +13,11 @@ from .sequence import EOS, PAD
 IGNORED = -100
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda a column would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def noise_counts(length: Column, density: float, mean_span: float) -> tuple[Column, Column]:
     """(noise tokens, spans) of a length: rounded halves to even, noise within 1 and length - 1, spans 1 at least."""
     noise = F.greatest(F.least(F.bround(length * F.lit(density)).cast("int"), length - 1), F.lit(1))
@@ -49,15 +54,16 @@ def _before(ends: Column, j: Column) -> Column:
 
 def noise_mask(length: Column, density: float, mean_span: float, *key: Column | str | int) -> Column:
     """array<boolean>: kept and noise spans take turns, a kept one first."""
-    ends = span_ends(length, density, mean_span, *key)
-    n = F.size(ends["noise"])
 
-    def span(j: Column) -> Column:
-        kept = F.get(ends["kept"], j - 1) - _before(ends["kept"], j)
-        noise = F.get(ends["noise"], j - 1) - _before(ends["noise"], j)
-        return F.concat(F.array_repeat(F.lit(False), kept), F.array_repeat(F.lit(True), noise))
+    def spans(ends: Column) -> Column:
+        def span(j: Column) -> Column:
+            kept = F.get(ends["kept"], j - 1) - _before(ends["kept"], j)
+            noise = F.get(ends["noise"], j - 1) - _before(ends["noise"], j)
+            return F.concat(F.array_repeat(F.lit(False), kept), F.array_repeat(F.lit(True), noise))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends["noise"])), span))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), n), span))
+    return let(span_ends(length, density, mean_span, *key), spans)
 
 
 def sentinels(tokens: Column, mask: Column, first_id: int, *, descending: bool = False) -> Column:
@@ -99,25 +105,28 @@ def corrupt(tokens: Column, first_id: int, *key: Column | str | int, density: fl
     Null where the length can't be corrupted (see possible).
     """
     length = F.size(tokens)
-    ends = span_ends(length, density, mean_span, *key)
-    kept, noise = ends["kept"], ends["noise"]
-    ids = tokens.cast("array<int>")
-    turns = F.sequence(F.lit(1), F.size(noise))
 
     def sentinel(j: Column) -> Column:
         return F.lit(first_id) - (j - 1) if descending else F.lit(first_id) + (j - 1)
 
-    def kept_span(j: Column) -> Column:
-        low = _before(kept, j)
-        return F.slice(ids, low + _before(noise, j) + 1, F.get(kept, j - 1) - low)
+    def pair(x: Column) -> Column:
+        ids, kept, noise = x["ids"], x["ends"]["kept"], x["ends"]["noise"]
+
+        def kept_span(j: Column) -> Column:
+            low = _before(kept, j)
+            return F.slice(ids, low + _before(noise, j) + 1, F.get(kept, j - 1) - low)
+
+        def noise_span(j: Column) -> Column:
+            low = _before(noise, j)
+            return F.slice(ids, F.get(kept, j - 1) + low + 1, F.get(noise, j - 1) - low)
 
-    def noise_span(j: Column) -> Column:
-        low = _before(noise, j)
-        return F.slice(ids, F.get(kept, j - 1) + low + 1, F.get(noise, j - 1) - low)
+        turns = F.sequence(F.lit(1), F.size(noise))
+        inputs = F.array_append(F.flatten(F.transform(turns, lambda j: F.array_append(kept_span(j), sentinel(j)))), F.lit(eos))
+        labels = F.array_append(F.flatten(F.transform(turns, lambda j: F.concat(F.array(sentinel(j)), noise_span(j)))), F.lit(eos))
+        return F.struct(inputs.alias("input_ids"), labels.alias("labels"))
 
-    inputs = F.array_append(F.flatten(F.transform(turns, lambda j: F.array_append(kept_span(j), sentinel(j)))), F.lit(eos))
-    labels = F.array_append(F.flatten(F.transform(turns, lambda j: F.concat(F.array(sentinel(j)), noise_span(j)))), F.lit(eos))
-    return F.when(possible(length, density, mean_span), F.struct(inputs.alias("input_ids"), labels.alias("labels")))
+    whole = F.struct(tokens.cast("array<int>").alias("ids"), span_ends(length, density, mean_span, *key).alias("ends"))
+    return F.when(possible(length, density, mean_span), let(whole, pair))
 
 
 def denoise(

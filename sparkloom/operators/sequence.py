@@ -85,6 +85,8 @@ def split_tokens(
     numbered = number(df.select(key, tokens), F.col(key), name="__row")
     bare = F.filter(drop_last(F.coalesce(F.col(tokens), F.array().cast("array<int>"))), lambda t: t != pad)
     rows = numbered.select(F.floor((F.col("__row") - 1) / batch_rows).alias("batch_id"), "__row", bare.alias("__ids"))
+    # A set number of partitions: what follows is heavy for its bytes, by which adaptive execution would merge them.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id")
     joined = rows.groupBy("batch_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__row", "__ids"))), lambda r: r["__ids"])).alias("__ids"))
     cut = joined.withColumn("__len", F.greatest(segment_length(longest, shortest, F.col("batch_id"), seed=seed, corrected=corrected), F.lit(1)))
     segments = cut.filter(F.size("__ids") > 0).select("batch_id", "__ids", "__len", F.explode(F.sequence(F.lit(0), F.floor((F.size("__ids") - 1) / F.col("__len")).cast("int"))).alias("__seg"))
