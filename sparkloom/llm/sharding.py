@@ -12,28 +12,34 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, *, rounds: int =
     """Labels (id, shard) of nodes (id, shard at first) after rounds of moves towards neighbours' shards.
 
     edges has src and dst, both ways. In a round each node wants the shard that most of its
-    neighbours are in, if that is more than in its own; even rounds move up only and odd rounds
-    down only, so two neighbours can't swap. A shard admits, by a hash, the share of those who want in
-    that it has room for below (1 + slack) times the mean. Votes are counted on each task before
+    neighbours are in, if that is more than in its own. In even rounds a node hears neighbours of lesser id only, in odd
+    rounds half of the nodes, by a hash, hear all; so two neighbours can't swap for ever. From shard a to b as many may move as want from b to a, and beyond that
+    b's room below (1 + slack) times the mean is shared by those who want in; a hash picks them. Votes are counted on each task before
     the shuffle; a hub's label goes to its neighbours by a join that Spark may split.
     """
     labels = stage(nodes, "shard-labels")
     n = labels.count()
     most = -(-n // shards) * (1 + slack)
     for k in range(rounds):
+        heard = edges.filter("src < dst") if k % 2 == 0 else edges.filter(F.xxhash64(F.lit(seed + k), F.col("dst")) % 2 == 0)
         linked = labels.select(F.col("id").alias("src"), F.col("shard").alias("theirs"))
-        votes = edges.join(linked, "src").groupBy("dst", "theirs").agg(F.count(F.lit(1)).alias("n"))
+        votes = heard.join(linked, "src").groupBy("dst", "theirs").agg(F.count(F.lit(1)).alias("n"))
         own = labels.select(F.col("id").alias("dst"), "shard")
         per_node = votes.join(own, "dst").groupBy("dst", "shard").agg(
-            F.max(F.struct("n", -F.col("theirs"))).alias("best"), F.max(F.when(F.col("theirs") == F.col("shard"), F.col("n")).otherwise(0)).alias("here")
+            F.max(F.struct("n", (-F.col("theirs")).alias("low"))).alias("best"), F.max(F.when(F.col("theirs") == F.col("shard"), F.col("n")).otherwise(0)).alias("here")
         )
-        to = -F.col("best")["col2"]
-        wants = per_node.select(F.col("dst").alias("id"), to.alias("to"), "shard", (F.col("best")["n"] - F.col("here")).alias("gain"))
-        wants = wants.filter((F.col("gain") > 0) & ((F.col("to") > F.col("shard")) if k % 2 == 0 else (F.col("to") < F.col("shard"))))
+        wants = per_node.filter(F.col("best")["n"] > F.col("here")).select(F.col("dst").alias("id"), "shard", (-F.col("best")["low"]).cast("int").alias("to"))
+        wants = stage(wants, "shard-wants")
+        flows = wants.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("there"))
+        back = flows.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("there").alias("back"))
+        flows = flows.join(back, ["shard", "to"], "left").withColumn("back", F.coalesce("back", F.lit(0)))
+        flows = flows.withColumn("over", F.greatest(F.col("there") - F.col("back"), F.lit(0)))
         load = labels.groupBy("shard").agg(F.count(F.lit(1)).alias("load")).withColumnRenamed("shard", "to")
-        asked = wants.groupBy("to").agg(F.count(F.lit(1)).alias("asked"))
-        room = asked.join(load, "to", "left").select("to", ((F.lit(most) - F.coalesce("load", F.lit(0))) / F.col("asked")).alias("room"))
-        moves = wants.join(room, "to").filter(unit(F.xxhash64(F.lit(seed + k), "id")) < F.col("room")).select("id", "to")
+        room = flows.groupBy("to").agg(F.sum("over").alias("over_all")).join(load, "to", "left")
+        room = room.select("to", (F.greatest(F.lit(most) - F.coalesce("load", F.lit(0)), F.lit(0.0)) / F.greatest("over_all", F.lit(1))).alias("room"))
+        share = (F.col("back") + F.col("over") * F.least(F.col("room"), F.lit(1.0))) / F.col("there")
+        shares = flows.join(room, "to").select("shard", "to", share.alias("share"))
+        moves = wants.join(shares, ["shard", "to"]).filter(unit(F.xxhash64(F.lit(seed + k), "id")) < F.col("share")).select("id", "to")
         labels = stage(labels.join(moves, "id", "left").select("id", F.coalesce("to", "shard").alias("shard")), "shard-labels")
     return labels
 
@@ -67,7 +73,7 @@ def cut(rows: DataFrame, shards: int, *, law: str) -> DataFrame:
     return placed.withColumn("at_all", at).withColumn("slot", F.row_number().over(numbered).cast("bigint") - 1).drop("slice", "at", "offset", "total", "at_all")
 
 
-def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
+def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int = 5) -> DataFrame:
     """Per row: id, size, text_crc32, law, shard, slot; rows of equal text are linked and kept together.
 
     size is the text's bytes plus 16. A group larger than a shard is spread over as few as the quotas
@@ -87,7 +93,7 @@ def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: s
     spokes = light.join(hubs, "group").filter("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst"))
     edges = stage(spokes.union(spokes.select("dst", "src")), "shard-edges")
     start = light.select("id", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    labels = propagate(start, edges, shards, rounds=rounds)
+    labels = propagate(start, edges, shards, rounds=rounds, slack=0.25)  # the cut evens out what is over
     rows = light.withColumn("tie", F.xxhash64(F.coalesce("group", "id"))).join(labels, "id")
     placed = cut(rows, shards, law=law)
     return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot")
