@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -177,18 +177,12 @@ class EnhancedSuffixArray:
                     stack.append((value, first))
 
 
-def _repeats(members: DataFrame, least: int) -> DataFrame:
-    """(anchor, length, found): the maximal repeats among the segments (anchor, content, bytes) of each anchor, with all occurrences."""
+def _by_anchor(members: DataFrame, least: int, work, schema: str) -> DataFrame:
+    """work(rows, suffix array) on the segments (anchor, content, bytes) of whole anchors, some thousand at a time."""
 
-    def groups(rows: pd.DataFrame) -> pd.DataFrame:
-        anchors, contents = rows["anchor"].to_numpy(np.int64), rows["content"].to_numpy(np.int64)
-        array = EnhancedSuffixArray(rows["bytes"].tolist(), np.unique(anchors, return_inverse=True)[1], least)
-        out = []
-        for length, suffixes in array.repeats(least):
-            strings = array.string[suffixes]
-            found = [{"content": int(contents[s]), "at": int(p)} for s, p in zip(strings, suffixes - array.base[strings], strict=True)]
-            out.append((int(anchors[strings[0]]), length, found))
-        return pd.DataFrame(out, columns=["anchor", "length", "found"])
+    def arrayed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["anchor", "content"]).reset_index(drop=True)
+        return work(rows, EnhancedSuffixArray(rows["bytes"].tolist(), np.unique(rows["anchor"], return_inverse=True)[1], least))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
@@ -200,15 +194,47 @@ def _repeats(members: DataFrame, least: int) -> DataFrame:
                 whole = pd.concat(waiting, ignore_index=True)
                 open_ = whole["anchor"] == whole["anchor"].iloc[-1]  # more of it may follow
                 if not open_.all():
-                    yield groups(whole[~open_].drop_duplicates(["anchor", "content"]).reset_index(drop=True))
+                    yield arrayed(whole[~open_])
                     waiting = [whole[open_]]
                     rows = int(open_.sum())
-        if waiting and rows:
-            whole = pd.concat(waiting, ignore_index=True).drop_duplicates(["anchor", "content"]).reset_index(drop=True)
-            yield groups(whole)
+        if rows:
+            yield arrayed(pd.concat(waiting, ignore_index=True))
+
+    dealt = members.select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInPandas(run, schema)
+
+
+def repeat_groups(members: DataFrame, least: int) -> DataFrame:
+    """(anchor, length, found): the maximal repeats among the segments of each anchor, each with all its occurrences (content, at)."""
+
+    def work(rows: pd.DataFrame, array: EnhancedSuffixArray) -> pd.DataFrame:
+        anchors, contents, out = rows["anchor"].to_numpy(np.int64), rows["content"].to_numpy(np.int64), []
+        for length, suffixes in array.repeats(least):
+            strings = array.string[suffixes]
+            found = [{"content": int(contents[s]), "at": int(p)} for s, p in zip(strings, suffixes - array.base[strings], strict=True)]
+            out.append((int(anchors[strings[0]]), length, found))
+        return pd.DataFrame(out, columns=["anchor", "length", "found"])
+
+    return _by_anchor(members, least, work, "anchor long, length int, found array<struct<content: long, at: int>>")
+
+
+def _covered(members: DataFrame, least: int) -> DataFrame:
+    """(anchor, content, a, b): what the occurrences of those repeats cover of each segment, put together, so with a row or two a segment."""
+
+    def work(rows: pd.DataFrame, array: EnhancedSuffixArray) -> pd.DataFrame:
+        marks = np.zeros(len(array.data) + 1, np.int64)
+        for length, suffixes in array.repeats(least):
+            marks[suffixes] += 1
+            np.subtract.at(marks, suffixes + length, 1)
+        inside = np.concatenate([[False], np.cumsum(marks[:-1]) > 0, [False]])
+        breaks = np.zeros(len(inside), bool)
+        breaks[array.base[1:] + 1] = True  # a string's start parts what it covers from the string before
+        opens = np.flatnonzero(inside[1:-1] & (~inside[:-2] | breaks[1:-1]))
+        closes = np.flatnonzero(inside[1:-1] & (~inside[2:] | breaks[2:])) + 1
+        of = array.string[opens]
+        return pd.DataFrame({"anchor": rows["anchor"].to_numpy()[of], "content": rows["content"].to_numpy()[of], "a": (opens - array.base[of]).astype(np.int32), "b": (closes - array.base[of]).astype(np.int32)})
 
-    sorted_ = members.select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return sorted_.mapInPandas(run, "anchor long, length int, found array<struct<content: long, at: int>>")
+    return _by_anchor(members, least, work, "anchor long, content long, a int, b int")
 
 
 def _windows(members: DataFrame, least: int) -> DataFrame:
@@ -226,19 +252,21 @@ def _windows(members: DataFrame, least: int) -> DataFrame:
     return windows.join(often, ["anchor", "digest"]).select("anchor", "content", F.col("at").alias("a"), (F.col("at") + least).alias("b"))
 
 
-def _few(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+def _few(df: DataFrame, lists: str, most: int) -> DataFrame:
+    """df, to be broadcast if its rows and the entries of its lists, counted, are few enough; else Spark joins by a shuffle."""
+    rows, entries = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(df) if rows + entries <= most else df
 
 
 def repeated_spans(
-    texts: DataFrame, least: int = 200, *, gram: int = 64, suffix_rows: int = 2000, broadcast_rows: int = 400_000
+    texts: DataFrame, least: int = 200, *, gram: int = 64, suffix_rows: int = 2000, broadcast_rows: int = 1_500_000
 ) -> DataFrame:
     """(k, size, spans) of texts (k, size, text: binary of at least `least` bytes): for each distinct text the ranges covered by repeats.
 
     k and size identify a text. A segment whose bytes occur twice is a repeat as it stands. The others of its anchor
     are compared by a suffix array, or, from suffix_rows different segments on, window by window. The counts travel as hashes; only the
     bytes of segments that share an anchor with another do. Texts are sent the list of their segments by a broadcast up to broadcast_rows
-    texts, beyond by a shuffle.
+    entries, beyond by a shuffle.
     """
     cut = stage(_cut(texts, least, gram), "suffix-segments")
     counted = cut.groupBy("anchor", "content").agg(F.sum("m").alias("n"))
@@ -249,25 +277,25 @@ def repeated_spans(
     open_ = found.filter((F.col("different") > 1) & (F.col("once") > 0))
     chosen = open_.groupBy("anchor", "content").agg(F.min(F.struct("k", "size", "start", "length")).alias("at"), F.first("different").alias("different"))
     per_text = chosen.groupBy("at.k", "at.size").agg(F.collect_list(F.struct("anchor", "content", "at.start", "at.length", "different")).alias("wanted"))
-    per_text = stage(per_text, "suffix-wanted")
-    wanted = _few(per_text, per_text.count(), broadcast_rows)
+    wanted = _few(stage(per_text, "suffix-wanted"), "wanted", broadcast_rows)
     located = texts.join(wanted, ["k", "size"]).select("text", F.explode("wanted").alias("w"))
     part = F.substring(F.col("text"), F.col("w.start").cast("int") + 1, F.col("w.length"))
     members = stage(located.select("w.anchor", "w.content", "w.different", part.alias("bytes")), "suffix-members")
 
-    repeats = _repeats(members.filter(F.col("different") <= suffix_rows), least)
-    one = repeats.select("anchor", "length", F.explode("found").alias("f")).select("anchor", "f.content", F.col("f.at").alias("a"), (F.col("f.at") + F.col("length")).alias("b"))
-    one = one.unionByName(_windows(members.filter(F.col("different") > suffix_rows), least))
-    covered = one.groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    covered = stage(covered, "suffix-covered")
+    few, many = members.filter(F.col("different") <= suffix_rows), members.filter(F.col("different") > suffix_rows)
+    covered = stage(_covered(few, least).unionByName(_windows(many, least)), "suffix-covered")
 
     whole = found.filter("n > 1").select("k", "size", "start", (F.col("start") + F.col("length")).alias("stop"))
-    single = open_.filter("n = 1").join(covered, ["anchor", "content"]).select("k", "size", "start", F.explode("spans").alias("s"))
-    single = single.select("k", "size", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("stop"))
-    return whole.union(single).groupBy("k", "size").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    single = open_.filter("n = 1").join(covered, ["anchor", "content"]).select("k", "size", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))
+    in_text = Window.partitionBy("k", "size").orderBy("start", "stop")
+    so_far = F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = whole.union(single).withColumn("opens", (F.coalesce(so_far, F.lit(-1)) < F.col("start")).cast("int"))
+    runs = opens.withColumn("run", F.sum("opens").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("k", "size", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.groupBy("k", "size").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, least: int = 200, *, id: str = "doc_id", text: str = "text", broadcast_rows: int = 400_000, **how) -> DataFrame:
+def remove_repeats(df: DataFrame, least: int = 200, *, id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_500_000, **how) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (start, stop).
 
     A byte goes if a string of `least` bytes over it also starts anywhere else, in this text or another, judged on the
@@ -277,8 +305,8 @@ def remove_repeats(df: DataFrame, least: int = 200, *, id: str = "doc_id", text:
     rows = df.select(F.col(id), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumns({"k": F.xxhash64("text"), "size": F.octet_length("text").cast("bigint")})
     spans = repeated_spans(rows.filter(F.col("size") >= least).select("k", "size", "text"), least, broadcast_rows=broadcast_rows, **how)
-    spans = stage(spans, "suffix-spans")
-    joined = rows.join(_few(spans, spans.count(), broadcast_rows), ["k", "size"], "left").select(id, "text", "spans")
+    spans = _few(stage(spans, "suffix-spans"), "spans", broadcast_rows)
+    joined = rows.join(spans, ["k", "size"], "left").select(id, "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
