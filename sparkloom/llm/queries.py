@@ -137,7 +137,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), word_tokenizer(), length=SEQUENCE)
 
 
-ANN_FACTOR = 0.3
+ANN_FACTOR = 0.8
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
