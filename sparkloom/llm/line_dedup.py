@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, stage
 
 
 def _lines(text: str) -> Column:
@@ -33,12 +33,12 @@ def boilerplate(df: DataFrame, *, text: str = "text", host: str = "source", rati
     return found.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def dedup_lines(df: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.1, min_pages: int = 3, dropped: str | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.1, min_pages: int = 3, dropped: str | None = None, broadcast_lines: int = 1_000_000) -> DataFrame:
     """df with the boilerplate lines of each host taken out of text; dropped names an added count of them.
 
     Lines are what stands between newlines, compared without the blanks around them; empty lines
-    are never boilerplate. The text is not shuffled: the table of boilerplate lines is joined by host,
-    and Spark broadcasts it only within spark.sql.autoBroadcastJoinThreshold.
+    are never boilerplate. The table of boilerplate lines is written and counted: up to broadcast_lines lines and hosts
+    it is broadcast, and no text is shuffled; beyond, it is joined by host, where Spark may split a host's pages.
 
     A null text stays null (and counts as a page), a null host is a host of its own, an empty text
     stays empty, a page repeated counts as often as it stands. A page of boilerplate alone becomes
@@ -46,7 +46,9 @@ def dedup_lines(df: DataFrame, *, text: str = "text", host: str = "source", rati
     """
     h, lines, all_lines = fresh(df, "host", "lines", "all")
     bad = boilerplate(df, text=text, host=host, ratio=ratio, min_pages=min_pages)
-    bad = bad.select(F.col("host").alias(h), F.col("lines").alias(lines))
+    bad = stage(bad.select(F.col("host").alias(h), F.col("lines").alias(lines)), "line-boilerplate")
+    hosts, found = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()
+    bad = F.broadcast(bad) if hosts + found <= broadcast_lines else bad
     joined = df.join(bad, F.col(host).eqNullSafe(F.col(h)), "left")
     keep = F.filter(F.col(all_lines), lambda x: (F.btrim(x, F.lit(" \t\r")) == "") | ~F.array_contains(F.col(lines), _hash(x)))
     out = joined.withColumn(all_lines, F.when(F.col(lines).isNotNull() & F.col(text).isNotNull(), _lines(text)))

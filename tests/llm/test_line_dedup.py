@@ -21,8 +21,9 @@ def by_hand(rows, ratio, least):
 def test_against_brute_force(spark, make):
     rows = [(i, "\n".join(["head" if i % 3 else " head ", f"line {i}", "", "foot" if i % 11 == 0 else "", f"tail {i % 2}"]), f"h{i % 4}" if i % 5 else None) for i in range(120)]
     for ratio in (0.1, 0.4):
-        got = line_dedup.dedup_lines(make(rows), ratio=ratio, min_pages=3)
-        assert Counter((r.doc_id, r.source, r.text) for r in got.collect()) == by_hand(rows, ratio, 3)
+        for most in (0, 1000):
+            got = line_dedup.dedup_lines(make(rows), ratio=ratio, min_pages=3, broadcast_lines=most)
+            assert Counter((r.doc_id, r.source, r.text) for r in got.collect()) == by_hand(rows, ratio, 3)
 
 
 def test_odd_rows(odd, none):
