@@ -136,7 +136,7 @@ for _group, _kinds in {
     "tokenizer": {"byte_level_bpe": TokenizerSpec},
     "tokenizer_trainer": {"byte_level_bpe": TokenizerTrainerSpec},
     "dataset": {"local": LocalSource, "named": NamedSource, "multitask": MultitaskSource},
-    "data": {"t5": PrepSpec},
+    "data": {"span_corruption": PrepSpec},
     "training": {"default": RunSpec},
     "optimizer": {"adam": AdamSpec, "adamw": AdamWSpec, "adafactor": AdafactorSpec, "adagrad": AdagradSpec},
     "schedule": {"default": ScheduleSpec},
