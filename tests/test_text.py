@@ -118,6 +118,21 @@ def test_train_from_files(spark, tmp_path):
     assert bpe.train_from_files(spark, str(tmp_path / "a.txt"), 262).merges[0] == ("a", "a")
 
 
+def test_bpe_counts_all_words(spark):
+    """Rare words decide here: (x, y) stands in 40 words of one occurrence, (a, b) 30 times in one word."""
+    rows = [("ab " * 30,)] + [(f"xy{chr(0x4E00 + i)}",) for i in range(40)]
+    model = bpe.train(spark.createDataFrame(rows, "text string"), size=260, normal=False, max_words=2)
+    assert model.merges[0] == ("x", "y")
+
+
+def test_bpe_on_cluster(spark):
+    texts = [*TEXTS, "aaaa aaa aaaaa abab ababab banana", "the then there thesis hethe", "abc ab bc abcabc bcabc"] * 3
+    docs = spark.createDataFrame([(f"{t} {t[i % 5:]}{i % 7}",) for i, t in enumerate(texts)], "text string")
+    for size, least in ((300, 2), (420, 1), (5000, 1)):
+        here, there = (bpe.train(docs, size=size, min_frequency=least, user=("a", "<x>"), max_words=m) for m in (10_000, 0))
+        assert there.merges == here.merges and there.vocabulary == here.vocabulary
+
+
 def test_pre_tokens(spark):
     df = spark.createDataFrame([("it's  a-b",), ("",)], "t string")
     assert [r[0] for r in df.select(text.pre_tokens(F.col("t"))).collect()] == [["it", "'s", " ", " a", "-", "b"], []]
