@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +78,8 @@ def cut(rows: DataFrame, shards: int, *, law: str) -> DataFrame:
 def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: str = "doc_id", text: str = "text", rounds: int = 5) -> DataFrame:
     """Per row: id, size, text_crc32, law, shard, slot; rows of equal text are linked and kept together.
 
-    size is the text's bytes plus 16. A group larger than a shard is spread over as few as the quotas
-    allow. A null text has size 16, crc32 of no bytes, and is linked to nothing; an empty text is a text
+    size is the text's bytes plus 16. Groups larger than a shard are laid over the first shards one after the other, each over as few
+    as its rows fill (two more where the cut or a neighbour shifts it); they don't move, and the rest starts in the room they leave. A null text has size 16, crc32 of no bytes, and is linked to nothing; an empty text is a text
     like others. Null and repeated ids are rows of their own. The rows that travel hold
     numbers only, never the text.
     """
@@ -89,11 +91,20 @@ def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: s
         F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("group"),
     )
     light = stage(light.withColumn("id", F.monotonically_increasing_id()), "shard-rows")
+    total = light.count()
     hubs = light.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spokes = light.join(hubs, "group").filter("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst"))
+    hubs = stage(hubs, "shard-hubs")
+    over = hubs.filter(F.col("n") * shards > total).orderBy(F.col("n").desc(), "group").select("group", "n").collect()  # fewer than shards
+    ahead = [0, *itertools.accumulate(r["n"] for r in over)]
+    large = df.sparkSession.createDataFrame([(r["group"], r["n"], at) for r, at in zip(over, ahead, strict=False)], "group bigint, large bigint, ahead bigint")
+    light = light.join(F.broadcast(large), "group", "left")
+    linked = light.filter(F.col("large").isNull()).join(hubs, "group")
+    spokes = linked.filter("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst"))
     edges = stage(spokes.union(spokes.select("dst", "src")), "shard-edges")
-    start = light.select("id", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    at = F.coalesce("ahead", F.lit(ahead[-1])) + unit(F.xxhash64("id")) * F.coalesce("large", F.lit(total - ahead[-1]))
+    start = light.select("id", F.least(F.floor(at * shards / max(total, 1)), F.lit(shards - 1)).cast("int").alias("shard"))
     labels = propagate(start, edges, shards, rounds=rounds, slack=0.25)  # the cut evens out what is over
-    rows = light.withColumn("tie", F.xxhash64(F.coalesce("group", "id"))).join(labels, "id")
+    tie = F.when(F.col("large").isNull(), F.coalesce("group", "id")).otherwise(F.col("id"))  # a large group fills its shards anyway
+    rows = light.withColumn("tie", F.xxhash64(tie)).drop("large", "ahead").join(labels, "id")
     placed = cut(rows, shards, law=law)
     return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot")

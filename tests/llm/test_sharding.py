@@ -41,6 +41,16 @@ def test_a_group_larger_than_a_shard(make):
     assert set(Counter(r.shard for r in placed).values()) == {90}
 
 
+def test_large_groups_take_few_shards(make):
+    """A third of all rows fills 13.3 of 40 shards, a tenth 4."""
+    rows = [(i, "hot" if i % 3 == 0 else "warm" if i % 10 == 1 else f"t{i // 2}", "s") for i in range(4000)]
+    for law in ("rows", "bytes"):
+        taken = defaultdict(set)
+        for r in sharding.shard_documents(make(rows), 40, law=law).collect():
+            taken[rows[r.doc_id][1]].add(r.shard)
+        assert len(taken["hot"]) <= 16 and len(taken["warm"]) <= 6
+
+
 def test_propagation_cuts_fewer_edges(spark):
     """Two rings of cliques: labels start at random, and move together under the quotas."""
     nodes = spark.range(400).select("id", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("shard"))
