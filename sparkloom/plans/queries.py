@@ -248,12 +248,13 @@ def vocab_extra_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM pre)
 SELECT doc_id, md5(array_to_string(list_append(list(coalesce(id, 2) ORDER BY i), 1), ' ')) AS ids FROM each LEFT JOIN vocab USING (word) GROUP BY doc_id""")
 def word_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words to vocabulary ids by a join; unknown ones are 2, the end is 1."""
+    """Words to vocabulary ids by a join; unknown ones are 2, the end is 1, also of an empty text; null for null."""
     d = docs(spark, sf_dir)
     vocab = bpe.word_vocabulary(bpe.word_counts(d), 32000).select("word", "id")
-    each = d.select("doc_id", F.posexplode(text.pre_tokens(F.col("text"))).alias("i", "word"))
-    found = each.join(vocab, "word", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("id", F.lit(bpe.UNK_ID)).alias("id")))).alias("r"))
-    return found.select("doc_id", joined(F.array_append(F.col("r.id"), F.lit(bpe.EOS_ID).cast("bigint"))).alias("ids"))
+    each = d.select("doc_id", F.col("text").isNotNull().alias("there"), F.posexplode_outer(text.pre_tokens(F.col("text"))).alias("i", "word"))
+    placed = F.when(F.col("i").isNotNull(), F.struct("i", F.coalesce("id", F.lit(bpe.UNK_ID)).alias("id")))  # no word, no place
+    found = each.join(vocab, "word", "left").groupBy("doc_id").agg(F.max("there").alias("there"), F.array_sort(F.collect_list(placed)).alias("r"))
+    return found.select("doc_id", F.when(F.col("there"), joined(F.array_append(F.col("r.id"), F.lit(bpe.EOS_ID).cast("bigint")))).alias("ids"))
 
 
 @query(f"WITH {IDS} SELECT doc_id, len(input_ids)::INT AS n, md5(array_to_string(input_ids, ' ')) AS ids FROM ids")

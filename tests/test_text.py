@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import code, text
 from sparkloom.operators import bpe
+from sparkloom.plans import queries
 from sparkloom.sources import tables
 
 TEXTS = ["The cat sat on the mat, the cat's hat.", "a  b", "", "über straße 123 — ①", "x\n\n  y\tz "]
@@ -143,3 +145,10 @@ def test_markers(spark):
     df = spark.createDataFrame([(["a", "<newline>", "b"],)], "t array<string>")
     assert df.select(text.stringify(F.col("t"), spaced=False)).first()[0] == "a<newline>b"
     assert df.select(text.destringify(F.lit("a<newline>b"), spaced=False)).first()[0] == "a <newline> b"
+
+
+def test_word_encode_keeps_texts_without_words(spark, tmp_path):
+    rows = [(1, "a b a"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.ids for r in queries.word_encode(spark, str(tmp_path)).collect()}
+    assert found == {1: hashlib.md5(b"5 4 3 1").hexdigest(), 2: hashlib.md5(b"1").hexdigest(), 3: None}
