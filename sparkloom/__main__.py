@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from .plans.prepare import prepare, train_tokenizer
+from .plans.prepare import prepare, train_tokenizer, write_batches
 from .plans.specs import PrepSpec, RunSpec, TokenizerSpec, TokenizerTrainerSpec
 from .session import session
-from .sources.tables import LocalSource
+from .sources.tables import LocalSource, load_tokenizer
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -27,13 +27,21 @@ def main(arguments: list[str] | None = None) -> None:
     prep.add_argument("--input-length", type=int, default=512)
     prep.add_argument("--out", default="out")
     prep.add_argument("--seed", type=int, default=42)
+    prep.add_argument("--epochs", type=int, default=3)
+    prep.add_argument("--batch", type=int, default=8)
+    prep.add_argument("--devices", type=int, default=1)
+    prep.add_argument("--workers", type=int, default=1)
+    prep.add_argument("--overwrite", action="store_true")
     args = parser.parse_args(arguments)
     spark = session("sparkloom")
     if args.command == "train-tokenizer":
         train_tokenizer(spark, TokenizerTrainerSpec(args.table, tuple(args.files), args.column, args.out), TokenizerSpec(vocab_size=args.vocab_size))
     else:
         source = LocalSource(column=args.column, key=args.key, path=args.table, seed=args.seed)
-        prepare(spark, source, args.tokenizer, PrepSpec(input_length=args.input_length), RunSpec(output_dir=args.out, seed=args.seed))
+        spec = PrepSpec(input_length=args.input_length, train_batch=args.batch, valid_batch=args.batch, devices=args.devices, workers=args.workers)
+        run = RunSpec(output_dir=args.out, overwrite_cache=args.overwrite, seed=args.seed, epochs=args.epochs)
+        chunks = prepare(spark, source, args.tokenizer, spec, run)
+        write_batches(chunks, load_tokenizer(args.tokenizer, spark), spec, run)
 
 
 if __name__ == "__main__":

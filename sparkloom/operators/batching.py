@@ -110,12 +110,20 @@ def multitask(
     return out.drop("__rank", "__n")
 
 
-def stack_mappings(df: DataFrame, row: str, name: str, value: str) -> DataFrame:
-    """(name, values): for each name of long rows (row, name, value) its value in each row in order, null where a row lacks it."""
-    rows = df.select(row).distinct()
-    slots = rows.agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    held = df.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct(row, value))).alias("__held"))
-    return held.crossJoin(F.broadcast(slots)).select(name, F.transform("__rows", lambda r: F.get(F.transform(F.array(r), lambda x: F.element_at("__held", x)), F.lit(0))).alias("values"))
+def stack_mappings(df: DataFrame, row: str, name: str, value: str, *, batch: str | None = None) -> DataFrame:
+    """(batch, name, values): for each name of long rows (batch, row, name, value) its value in each row of its batch, in order, null where a row lacks it.
+
+    An array is as long as its batch has rows, so a batch's size bounds it; without batch all rows are one, without that column. Repeated (row, name) keep one value;
+    null rows and names are values like others.
+    """
+    of = [F.col(batch) if batch else F.lit(0)]
+    held = df.select(of[0].alias("__batch"), F.struct(F.col(row)).alias("__row"), F.struct(F.col(name)).alias("__name"), F.col(value).alias("__value"))
+    held = held.groupBy("__batch", "__row", "__name").agg(F.min("__value").alias("__value"))
+    rows, names = held.select("__batch", "__row").distinct(), held.select("__batch", "__name").distinct()
+    grid = rows.join(names, rows["__batch"].eqNullSafe(names["__batch"])).select(rows["__batch"].alias("__b"), F.col("__row").alias("__r"), F.col("__name").alias("__n"))
+    full = grid.join(held, grid["__b"].eqNullSafe(held["__batch"]) & (grid["__r"] == held["__row"]) & (grid["__n"] == held["__name"]), "left")
+    stacked = full.groupBy("__b", "__n").agg(F.array_sort(F.collect_list(F.struct("__r", "__value"))).alias("__values"))
+    return stacked.select(*([F.col("__b").alias(batch)] if batch else []), F.col("__n")[name].alias(name), F.transform("__values", lambda v: v["__value"]).alias("values"))
 
 
 def zip_longest(df: DataFrame, *columns: str, rest: tuple[str, ...] = ()) -> DataFrame:
@@ -137,7 +145,7 @@ def dataloader(df: DataFrame, *features: str, num_workers: int | None = None) ->
 
 
 def dataset(frames: list[DataFrame], key: str, size: int, **how) -> DataFrame:
-    """One frame is iterated by itself, several as tasks task_0, task_1, ..."""
+    """One frame is iterated by itself, several as tasks dataset_0, dataset_1, ..."""
     if len(frames) == 1:
         return iterate(frames[0], key, size, **how)
     named = [f.withColumn("task", F.lit(f"dataset_{i}")) for i, f in enumerate(frames)]

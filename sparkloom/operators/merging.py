@@ -75,7 +75,7 @@ def merged(symbols: np.ndarray, weights: np.ndarray, batch: np.ndarray) -> tuple
 
 
 def blocks(counts: DataFrame, first: np.ndarray) -> RDD:
-    """Blocks (symbols, weights, keys, counts of pairs) of counted words (word, n); first has the symbol of each byte."""
+    """Blocks (symbols, weights, keys, counts of pairs) of counted words (word, n); first has the symbol of each byte: within a word, as its first, its last, and its only one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, weights, held = [], [], 0
@@ -92,7 +92,11 @@ def blocks(counts: DataFrame, first: np.ndarray) -> RDD:
             start = np.frombuffer(words.buffers()[1], np.int64)[words.offset]
             letters = np.frombuffer(words.buffers()[2], np.uint8)[start : start + sizes.sum()]
             out = np.full(len(letters) + len(words), END, np.int32)
-            out[np.arange(len(letters)) + np.repeat(np.arange(len(words)), sizes)] = first[letters]
+            place = np.zeros(len(letters), np.int64)
+            ends = np.cumsum(sizes)[sizes > 0]
+            place[ends - sizes[sizes > 0]] += 1
+            place[ends - 1] += 2
+            out[np.arange(len(letters)) + np.repeat(np.arange(len(words)), sizes)] = first[place, letters]
             symbols.append(out)
             weights.append(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
             held += len(out)
@@ -130,8 +134,8 @@ def _remove(spark: SparkSession, path: str | None) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def merge(counts: DataFrame, tokens: list[str], first: np.ndarray, size: int, min_frequency: int) -> list[tuple[str, str]]:
-    """The merges in order, until there are size tokens or no pair has min_frequency; new tokens are added to tokens."""
+def merge(counts: DataFrame, tokens: list[str], first: np.ndarray, size: int, min_frequency: int, *, cut: int = 0) -> list[tuple[str, str]]:
+    """The merges in order, until there are size tokens or no pair has min_frequency; new tokens, the right part less its first cut letters, are added to tokens."""
     spark = counts.sparkSession
     _checkpoints(spark)
     ids = {t: i for i, t in enumerate(tokens)}
@@ -173,7 +177,7 @@ def merge(counts: DataFrame, tokens: list[str], first: np.ndarray, size: int, mi
                 heapq.heappush(heap, (n, key))
                 break
             del pairs[key]
-            joined = tokens[a] + tokens[b]
+            joined = tokens[a] + tokens[b][cut:]
             merges.append((tokens[a], tokens[b]))
             known = joined in ids
             if not known:

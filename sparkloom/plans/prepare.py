@@ -14,7 +14,10 @@ from .specs import PrepSpec, RunSpec, TokenizerSpec, TokenizerTrainerSpec
 def train_tokenizer(spark: SparkSession, trainer: TokenizerTrainerSpec, spec: TokenizerSpec = TokenizerSpec()) -> bpe.Model:
     """Counts words by Spark, finds the merges, saves tokenizer.json and the vocabulary with sentinels."""
     texts = tables.training_texts(spark, path=trainer.dataset_path, files=list(trainer.dataset_files) or None, column=trainer.column)
-    model = bpe.train(texts, "text", spec.vocab_size, min_frequency=spec.min_frequency, user=spec.special_tokens, prefix_space=spec.add_prefix_space)
+    model = bpe.train(
+        texts, "text", spec.vocab_size, min_frequency=spec.min_frequency, user=spec.special_tokens, prefix_space=spec.add_prefix_space, form=spec.unicode_form, nmt=spec.nmt,
+        collapse=spec.collapse_spaces, lower=spec.lowercase, dropout=spec.dropout, continuing_prefix=spec.continuing_subword_prefix, end_of_word=spec.end_of_word_suffix, trim_offsets=spec.trim_offsets,
+    )
     return tables.save_fast_tokenizer(model, trainer.save_folder, max_length=trainer.model_max_length, extra=trainer.additional_special_tokens)
 
 
@@ -26,7 +29,7 @@ def segments(df: DataFrame, model: bpe.Model, source: tables.Source, prep: PrepS
         df, key = limit(df, size, source.key, seed=seed).drop(source.key), "draw_id"
     coded = df.select(F.col(key), bpe.encode(F.col(source.column), model).alias("input_ids"))
     cut = sequence.prepare(coded, "input_ids", key, raw, seed=seed)
-    numbered = ordering.number(cut, F.col("batch_id"), tie=F.col("seg_id"), slice_of=F.col("batch_id"), name="chunk")
+    numbered = ordering.number(cut, F.col("batch_id"), tie=F.col("seg_id"), name="chunk")
     if size == 1:
         return numbered
     return limit(numbered, size, "chunk", seed=seed).drop("chunk").withColumnRenamed("draw_id", "chunk")
@@ -50,3 +53,16 @@ def prepare(spark: SparkSession, source: tables.Source, tokenizer: str, prep: Pr
         chunks = segments(rows.filter(F.col("split") == split), model, source, prep, size=size, seed=run.seed)
         out[split] = tables.cached(chunks, f"{run.output_dir}/{split}", overwrite=run.overwrite_cache)
     return out
+
+
+def write_batches(chunks: dict[str, DataFrame], model: bpe.Model, prep: PrepSpec = PrepSpec(), run: RunSpec = RunSpec()) -> dict[str, DataFrame]:
+    """{'train', 'validation'}: the examples of run.epochs epochs (one for validation, not shuffled) with epoch, batch_id, pos, worker_id, device_id, written and read back."""
+    out = {}
+    for split, epochs in (("train", run.epochs), ("validation", 1)):
+        whole = None
+        for epoch in range(epochs):
+            one = epoch_batches(chunks[split], prep, model, epoch=epoch, seed=run.seed, train=split == "train").withColumn("epoch", F.lit(epoch))
+            whole = one if whole is None else whole.unionByName(one)
+        if whole is not None:
+            out[split] = tables.cached(whole, f"{run.output_dir}/batches/{split}", overwrite=run.overwrite_cache)
+    return out

@@ -171,7 +171,7 @@ def limit_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = splits.limit(docs(spark, sf_dir), SUBSET, "doc_id", seed=SEED)
     tokens = rows.select("draw_id", sequence.word_ids(F.col("text")).alias("input_ids"))
     segments = sequence.prepare(tokens, "input_ids", "draw_id", RAW, seed=SEED).select("batch_id", "seg_id", (F.col("batch_id") * (1 << 32) + F.col("seg_id")).alias("key"))
-    wide = ordering.number(segments, F.col("batch_id"), tie=F.col("seg_id"), slice_of=F.col("batch_id"), name="chunk").drop("key")
+    wide = ordering.number(segments, F.col("batch_id"), tie=F.col("seg_id"), name="chunk").drop("key")
     return splits.limit(wide, SUBSET, "chunk", seed=SEED).select("draw_id", "batch_id", "seg_id")
 
 
@@ -225,9 +225,9 @@ def word_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.word_vocabulary(bpe.word_counts(docs(spark, sf_dir)), 32000)
 
 
-@query(f"""WITH {PRE}, letters AS (SELECT n, string_split(word, '') AS c FROM words WHERE length(word) > 1),
-pairs AS (SELECT n, c, unnest(range(1, len(c))) AS i FROM letters)
-SELECT c[i] AS "left", c[i + 1] AS "right", sum(n)::BIGINT AS n FROM pairs GROUP BY ALL""")
+@query(f"""WITH {PRE}, bytes AS (SELECT n, hex(encode(word)) AS h FROM words),
+pairs AS (SELECT n, h, unnest(range(1, len(h) // 2)) AS i FROM bytes)
+SELECT h[2 * i - 1:2 * i] AS "left", h[2 * i + 1:2 * i + 2] AS "right", sum(n)::BIGINT AS n FROM pairs GROUP BY ALL""")
 def pair_counts_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.pair_counts(bpe.word_counts(docs(spark, sf_dir)))
 
@@ -248,13 +248,10 @@ def vocab_extra_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM pre)
 SELECT doc_id, md5(array_to_string(list_append(list(coalesce(id, 2) ORDER BY i), 1), ' ')) AS ids FROM each LEFT JOIN vocab USING (word) GROUP BY doc_id""")
 def word_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words to vocabulary ids by a join; unknown ones are 2, the end is 1, also of an empty text; null for null."""
+    """Words to vocabulary ids; unknown ones are 2, the end is 1, also of an empty text; null for null."""
     d = docs(spark, sf_dir)
-    vocab = bpe.word_vocabulary(bpe.word_counts(d), 32000).select("word", "id")
-    each = d.select("doc_id", F.col("text").isNotNull().alias("there"), F.posexplode_outer(text.pre_tokens(F.col("text"))).alias("i", "word"))
-    placed = F.when(F.col("i").isNotNull(), F.struct("i", F.coalesce("id", F.lit(bpe.UNK_ID)).alias("id")))  # no word, no place
-    found = each.join(vocab, "word", "left").groupBy("doc_id").agg(F.max("there").alias("there"), F.array_sort(F.collect_list(placed)).alias("r"))
-    return found.select("doc_id", F.when(F.col("there"), joined(F.array_append(F.col("r.id"), F.lit(bpe.EOS_ID).cast("bigint")))).alias("ids"))
+    vocabulary = bpe.word_vocabulary(bpe.word_counts(d), 32000)
+    return d.select("doc_id", joined(bpe.word_encode(F.col("text"), vocabulary)).alias("ids"))
 
 
 @query(f"WITH {IDS} SELECT doc_id, len(input_ids)::INT AS n, md5(array_to_string(input_ids, ' ')) AS ids FROM ids")
@@ -486,10 +483,10 @@ def multitask_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "batch_id", "pos", "worker_id", "device_id")
 
 
-@query("""WITH rows AS (SELECT lang, source, count(*) AS n FROM documents WHERE source < 'src12' OR lang <> 'es' GROUP BY ALL), names AS (SELECT DISTINCT source FROM rows), langs AS (SELECT DISTINCT lang FROM rows)
+@query("""WITH rows AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), names AS (SELECT DISTINCT source FROM rows), langs AS (SELECT DISTINCT lang FROM rows)
 SELECT source, array_to_string(list(coalesce(n::VARCHAR, 'null') ORDER BY lang), ' ') AS "values" FROM names CROSS JOIN langs LEFT JOIN rows USING (source, lang) GROUP BY source""")
 def stack_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir, "lang", "source").filter((F.col("source") < "src12") | (F.col("lang") != "es")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs(spark, sf_dir, "lang", "source").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     out = batching.stack_mappings(rows, "lang", "source", "n")
     return out.select("source", F.array_join(F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("null"))), " ").alias("values"))
 
@@ -682,10 +679,10 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("event_id").alias("step"), metrics.prefixed(F.col("event_type"), "train").alias("name"), "value")
 
 
-@query("SELECT event_id AS step, event_id % 500 = 0 AS logs, event_id % 2000 = 0 AS validates FROM events WHERE event_id % 500 = 0")
+@query("SELECT event_id AS step, event_id % 500 = 0 AS logs, event_id % 2000 = 0 AS validates FROM events")
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.col("event_id")
-    return _events(spark, sf_dir).filter(metrics.due(step, 500)).select(step.alias("step"), metrics.due(step, 500).alias("logs"), metrics.due(step, 2000).alias("validates"))
+    return _events(spark, sf_dir).select(step.alias("step"), metrics.due(step, 500).alias("logs"), metrics.due(step, 2000).alias("validates"))
 
 
 PATHS = ("encoder/block/0/layer_norm/scale", "decoder/final_layer_norm/scale", "encoder/dense/bias", "shared/embedding", "encoder/attention/scale", "scale", "bias")

@@ -15,7 +15,7 @@ class TokenizerSpec:
     min_frequency: int = 2
     add_prefix_space: bool = False
     special_tokens: tuple[str, ...] = ()
-    unicode_form: str = "nfkc"
+    unicode_form: str | None = "nfkc"
     nmt: bool = False
     collapse_spaces: bool = True
     lowercase: bool = False

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from pathlib import Path
+import json
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,27 +95,54 @@ def training_texts(spark: SparkSession, *, path: str | None = None, files: str |
         df = df.filter(F.col("split") == "train") if "split" in df.columns else df
         return df.select(F.col(column).alias("text"))
     if files:
-        return scan_text(spark, files)
+        return bpe.lines_of(spark, files)
     raise ValueError("give a table or files to train on")
 
 
-def save_tokenizer(model: bpe.Model, folder: str, spark: SparkSession | None = None) -> str:
-    """Writes tokenizer.json to a folder made anew, and with a session its vocabulary and merges as tables."""
-    import shutil
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
-    shutil.rmtree(folder, ignore_errors=True)
-    Path(folder).mkdir(parents=True)
-    (Path(folder) / "tokenizer.json").write_text(model.to_json(), encoding="utf-8")
-    if spark:
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    system, at = _file_system(spark, path)
+    stream = system.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    system, at = _file_system(spark, path)
+    if not system.exists(at):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
+
+
+def save_tokenizer(model: bpe.Model, folder: str, spark: SparkSession | None = None, *, tables: bool = True) -> str:
+    """Writes tokenizer.json and tokenizer_config.json (the greatest input length), and with a session or tables its vocabulary and merges as tables.
+
+    All go through Spark's file systems; other files of the folder stay.
+    """
+    at = spark or SparkSession.active()
+    _write_text(at, f"{folder}/tokenizer.json", model.to_json())
+    _write_text(at, f"{folder}/tokenizer_config.json", json.dumps({"model_max_length": model.max_length, "clean_up_tokenization_spaces": False}))
+    if spark and tables:
         vocabulary, merges = bpe.frames(model, spark)
         vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary.parquet")
         merges.write.mode("overwrite").parquet(f"{folder}/merges.parquet")
     return folder
 
 
-def load_tokenizer(folder: str) -> bpe.Model:
-    """The model saved in a folder."""
-    return bpe.Model.from_json((Path(folder) / "tokenizer.json").read_text(encoding="utf-8"))
+def load_tokenizer(folder: str, spark: SparkSession | None = None) -> bpe.Model:
+    """The model saved in a folder, with its normalizers, affixes, dropout and greatest input length."""
+    spark = spark or SparkSession.active()
+    text = _read_text(spark, f"{folder}/tokenizer.json")
+    if text is None:
+        raise ValueError(f"no tokenizer in {folder}")
+    said = json.loads(_read_text(spark, f"{folder}/tokenizer_config.json") or "{}")
+    return bpe.Model.from_json(text, max_length=said.get("model_max_length"))
 
 
 def save_fast_tokenizer(model: bpe.Model, folder: str, *, max_length: int | None = None, extra: tuple[str, ...] = (), extra_ids: int = 100) -> bpe.Model:
@@ -123,7 +150,7 @@ def save_fast_tokenizer(model: bpe.Model, folder: str, *, max_length: int | None
     vocabulary = dict(model.vocabulary)
     for token in (*(f"<extra_id_{i}>" for i in range(extra_ids)), *extra):
         vocabulary.setdefault(token, len(vocabulary))
-    grown = bpe.Model(vocabulary, model.merges, (*model.special, *(t for t in vocabulary if t not in model.vocabulary)), model.prefix_space, model.form, max_length)
+    grown = replace(model, vocabulary=vocabulary, special=(*model.special, *(t for t in vocabulary if t not in model.vocabulary)), max_length=max_length, extra={})
     save_tokenizer(grown, folder)
     return grown
 

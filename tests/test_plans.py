@@ -22,7 +22,10 @@ def test_both_runs(spark, tmp_path):
     main(["train-tokenizer", "--table", TABLE, "--vocab-size", "400", "--out", str(tmp_path / "t")])
     model = tables.load_tokenizer(str(tmp_path / "t"))
     assert model.vocabulary["<extra_id_0>"] == 400
-    main(["prepare", "--table", TABLE, "--key", "doc_id", "--tokenizer", str(tmp_path / "t"), "--input-length", "128", "--out", str(tmp_path / "o")])
+    main(["prepare", "--table", TABLE, "--key", "doc_id", "--tokenizer", str(tmp_path / "t"), "--input-length", "128", "--epochs", "2", "--devices", "2", "--out", str(tmp_path / "o")])
+    written = spark.read.parquet(str(tmp_path / "o/batches/train"))
+    assert {r.epoch: r["count"] for r in written.groupBy("epoch").count().collect()}.keys() == {0, 1} and {"device_id", "labels"} <= set(written.columns)
+    assert spark.read.parquet(str(tmp_path / "o/batches/validation")).select("epoch").distinct().count() == 1
     train = spark.read.parquet(str(tmp_path / "o/train"))
     assert train.filter(F.size("input_ids") != 141).count() == 0 and train.count() > 100
     prep = specs.PrepSpec(input_length=128, devices=2)

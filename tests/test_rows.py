@@ -21,6 +21,36 @@ def test_number_with_nulls_and_nothing(spark):
     assert ordering.number(df.limit(0), F.col("k")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["sparse", "negative", "repeated", "nulls", "text ties"])
+def test_slices_follow_rows_not_values(spark, kind, monkeypatch):
+    """Any key is cut into about as many slices as rows call for, and numbers are those of a sort."""
+    n = 6000
+    key = {"sparse": lambda i: i * 1_000_003, "negative": lambda i: -(i**3), "repeated": lambda i: i % 3 if i % 2 else 7, "nulls": lambda i: None if i % 3 else i, "text ties": lambda i: i % 5}[kind]
+    rows = [(key(i), f"t{i * 7919 % n:05}", i, "kept") for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, t string, id long, __at string").repartition(5)
+    seen, plain = [], ordering._sliced
+
+    def noted(keyed, columns, at, then, slice_of, by, name, names):
+        seen.append([r["count"] for r in keyed.groupBy(slice_of.alias("s")).count().collect()])
+        return plain(keyed, columns, at, then, slice_of, by, name, names)
+
+    monkeypatch.setattr(ordering, "_sliced", noted)
+    tie = F.col("t") if kind == "text ties" else None
+    out = ordering.number(df, F.col("k"), tie=tie, slice_rows=50)
+    got = out.orderBy("rn").collect()
+    assert out.columns == [*df.columns, "rn"] and {r["__at"] for r in got} == {"kept"}
+    assert [r.rn for r in got] == list(range(1, n + 1)) and len({r.id for r in got}) == n
+    order = [(r.k is not None, r.k or 0, r.t if tie is not None else "") for r in got]
+    assert order == sorted(order)
+    assert len(seen[0]) <= n / 50 + 1 and len(seen[0]) > 60 and max(seen[0]) < 400
+    again = ordering.number(df.repartition(3), F.col("k"), tie=tie, slice_rows=50)
+    assert {r.id: r.rn for r in again.collect()} == {r.id: r.rn for r in got}
+    hashed = ordering.number_by_hash(df, F.col("id"), 1, slice_rows=50).collect()
+    assert sorted(r.rn for r in hashed) == list(range(1, n + 1)) and len(seen[-1]) > 60 and max(seen[-1]) < 200
+    by = ordering.number(df.withColumn("g", F.col("id") % 2), F.col("k"), by=("g",), slice_rows=50).collect()
+    assert all(sorted(r.rn for r in by if r.g == g) == list(range(1, n // 2 + 1)) for g in (0, 1))
+
+
 def test_prefix_and_random_split(spark):
     df = spark.range(200)
     counts = {r.split: r["count"] for r in splits.split_prefix(df, 0.05, "id").groupBy("split").count().collect()}

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,39 @@ def test_bpe_against_the_library(spark, tmp_path):
     assert grown.vocabulary["<extra_id_0>"] == 800 and grown.vocabulary["<x>"] == 803 and grown.max_input(None) == 512 and grown.max_input(9) == 9
 
 
+@pytest.mark.parametrize("how", [
+    {"lower": True}, {"nmt": True, "form": None}, {"form": "nfc", "collapse": False}, {"continuing_prefix": "##"}, {"end_of_word": "</w>"}, {"continuing_prefix": "@", "end_of_word": "$", "prefix_space": True},
+])
+def test_tokenizer_settings_against_the_library(spark, tmp_path, how):
+    """Each setting changes training and encoding as the library's does, and outlives saving."""
+    tokenizers = pytest.importorskip("tokenizers")
+    texts = ["The  Cat\u0007 sat \u2460 ﬁne", "the cat the cat THE HAT", "caf\u00e9 cafe\u0301 naïve", "banana bananas ban", ""] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = bpe.train(docs, size=330, min_frequency=2, **how)
+    folder = tables.save_tokenizer(tables.save_fast_tokenizer(model, str(tmp_path / "g"), max_length=77, extra_ids=2), str(tmp_path / "t"))
+    loaded = tables.load_tokenizer(folder)
+    assert loaded.max_length == 77 and loaded.merges == model.merges
+    for k in ("form", "nmt", "collapse", "lower", "prefix_space", "trim_offsets"):
+        assert getattr(loaded, k) == getattr(model, k), k
+    assert (loaded.continuing_prefix, loaded.end_of_word) == (how.get("continuing_prefix"), how.get("end_of_word"))
+    ids = [r[0] for r in docs.select(bpe.encode(F.col("text"), loaded)).collect()]
+    saved = tokenizers.Tokenizer.from_file(f"{folder}/tokenizer.json")
+    assert ids == [saved.encode(t).ids for t in texts]
+    assert bpe.train(docs, size=330, max_words=0, **how).vocabulary == model.vocabulary
+
+
+def test_words_of_many_letters_and_dropout(spark):
+    model = bpe.train_from_counts({"abababab": 9, "aab": 5}, 275, min_frequency=1)
+    letters = "ab" * 20000
+    began = time.perf_counter()
+    assert model.vocabulary["abababab"] in model.word(letters) and time.perf_counter() - began < 5
+    df = spark.createDataFrame([("abababab abababab abababab abababab",)], "t string")
+    half = [df.select(bpe.encode(F.col("t"), model, dropout=0.5, seed=s, normal=False)).first()[0] for s in range(4)]
+    assert len({tuple(x) for x in half}) > 1 and all(bpe.Model.decode(model, list(x)) == "abababab abababab abababab abababab" for x in half)
+    words = [r[0] for r in spark.createDataFrame([("abababab" * 1 + " " + "abababab",)], "t string").select(bpe.encode(F.col("t"), model, dropout=1.0, normal=False)).collect()]
+    assert len(words[0]) == 8 + 9 + 1
+
+
 def test_bpe_round_trip(spark):
     df = spark.createDataFrame([(t,) for t in [*TEXTS, None]], "t string")
     model = bpe.train_from_counts({"the": 5, " cat": 4}, 270)
@@ -117,7 +151,18 @@ def test_bpe_round_trip(spark):
 
 def test_train_from_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("aa aa aa\n" * 3)
-    assert bpe.train_from_files(spark, str(tmp_path / "a.txt"), 262).merges[0] == ("a", "a")
+    model = bpe.train_from_files(spark, str(tmp_path / "a.txt"), 262)
+    assert model.merges[0] == ("a", "a")
+    assert tables.training_texts(spark, files=[str(tmp_path / "a.txt")]).first().text == "aa aa aa\n"
+
+
+def test_word_vocabulary(spark):
+    counts = spark.createDataFrame([("b", 3), ("a", 3), ("c", 5), ("d", 1)], "word string, n long")
+    want = {"c": 3, "a": 4, "b": 5, "d": 6}
+    assert {r.word: r.id for r in bpe.word_vocabulary(counts).collect()} == want
+    assert {r.word: r.id for r in bpe.word_vocabulary(counts, 5).collect()} == {"c": 3, "a": 4}
+    pairs = bpe.pair_counts(spark.createDataFrame([("aé", 2), ("x", 9)], "word string, n long")).collect()
+    assert {(r.left, r.right): r.n for r in pairs} == {("61", "C3"): 2, ("C3", "A9"): 2}
 
 
 def test_bpe_counts_all_words(spark):
