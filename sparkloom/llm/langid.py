@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import unit
+from .shared import stage, unit
 
 # Odd multipliers of the filter's hashes.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -39,8 +39,8 @@ class Settings:
     sample_rows: int = 1500
     near: float = 0.3
     min_count: int = 5
-    max_ngrams: int = 300_000
     slot_bits: int = 21
+    slots: int = 6
     hashes: int = 2
 
 
@@ -71,9 +71,10 @@ class Filters:
     """Slots of bit masks: bit l % 8 of byte l // 8 in a slot is set if an n-gram of language l falls there."""
 
     def __init__(self, languages: list[str], codes: np.ndarray, members: np.ndarray, settings: Settings):
+        self.bits = max(settings.slot_bits, (settings.slots * max(1, len(codes)) - 1).bit_length())
         self.languages, self.settings = languages, settings
         planes = max(1, -(-len(languages) // 8))
-        self.slots = np.zeros((planes, 1 << settings.slot_bits), np.uint8)
+        self.slots = np.zeros((planes, 1 << self.bits), np.uint8)
         for plane in range(planes):
             own = members[:, plane * 8 : plane * 8 + 8]
             mask = (own << np.arange(own.shape[1])).sum(1).astype(np.uint8)
@@ -83,7 +84,7 @@ class Filters:
         self.false_rate = fill**settings.hashes
 
     def _slots(self, codes: np.ndarray) -> list[np.ndarray]:
-        right = np.uint64(64 - self.settings.slot_bits)
+        right = np.uint64(64 - self.bits)
         return [((codes ^ (codes >> np.uint64(23))) * np.uint64(m) >> right).astype(np.int64) for m in _ODD[: self.settings.hashes]]
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +121,8 @@ def remainder(id: Column) -> Column:
 def fit(labelled: DataFrame, settings: Settings = Settings(), *, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters | None:
     """Filters learned from labelled; None if it has no row with text and label.
 
-    What goes to the driver is one count a language and max_ngrams n-grams at most.
+    What goes to the driver is one count a language and the n-grams of the sample, which settings.sample_rows bounds. Rows with a null id are taken
+    or left together; repeated rows count as often as they stand there; of languages with equally many rows the lesser name is first.
     """
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
@@ -142,13 +144,14 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), *, id: str = "doc_
                         yield pd.DataFrame({"code": code.astype(np.int64), "lang": number[name], "n": n.astype(np.int64)})
 
     sums = chosen.mapInPandas(tally, "code long, lang int, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
+    sums = stage(sums, "langid-ngrams")
     totals = F.sum("n").alias("n")
     per_lang = {r[0]: r[1] for r in sums.groupBy("lang").agg(totals).collect()}
     rate = F.col("n") / F.create_map(*[F.lit(x) for k, v in per_lang.items() for x in (k, float(v))])[F.col("lang")]
     entries = sums.filter(F.col("n") >= settings.min_count).withColumn("rate", rate)
     grams = entries.groupBy("code").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("of"))
     grams = grams.select("code", "top", F.transform(F.filter("of", lambda x: x["rate"] >= F.col("top") * F.lit(settings.near)), lambda x: x["lang"]).alias("of"))
-    grams = grams.filter(F.size("of") < max(2, len(languages))).orderBy(F.col("top").desc(), "code").limit(settings.max_ngrams)
+    grams = grams.filter(F.size("of") < max(2, len(languages)))
     found = grams.select("code", "of").toPandas()
     members = np.zeros((len(found), len(languages)), np.int64)
     for i, of in enumerate(found["of"]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,12 +79,12 @@ def targets(sizes: DataFrame, recipe: Recipe) -> DataFrame:
 
 
 def mix_plan(df: DataFrame, recipe: Recipe = Recipe(), *, id: str = "doc_id", text: str = "text", source: str = "source", prefix: str = "mix_") -> DataFrame:
-    """df with what the mix takes of each row: prefix + size, source_size, target, positions, taken.
+    """df with what the mix takes of each row: prefix + size, source_size, target, positions, lengths, taken; columns of these names are replaced.
 
     A source's rows stand in a hashed order, and its words, one after another, again from the
-    start when they run out, meet its demand. A copy of a row is taken if its middle word lies
-    within the target, so a source's taken words miss the target by half a document at most;
-    positions holds, for each copy, the training time (0 to 1) at which that word is asked for.
+    start when they run out, meet its demand. So a source gives its target to the word: of the row where the
+    target ends, the last copy is taken in part, its first words. lengths holds the words of each copy,
+    positions the training time (0 to 1) at which the middle one of them is asked for. A row without words is copied like its neighbours.
 
     The order is cut into slices by the hash. Slices' totals give each slice its offset, and
     a window runs within a slice, so a source with most of the rows is spread over all tasks.
@@ -106,32 +107,41 @@ def mix_plan(df: DataFrame, recipe: Recipe = Recipe(), *, id: str = "doc_id", te
         F.col("source").alias(h), F.col("slice").alias(off), F.struct("offset", "source_size", "rank", "target").alias(end)
     )
     within = Window.partitionBy(source, slice_).orderBy(order, id, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn(order, F.sum(size).over(within) - F.col(size) / 2)
+    placed = keyed.withColumn(order, F.sum(size).over(within) - F.col(size))
     placed = placed.join(offsets, F.col(source).eqNullSafe(F.col(h)) & (F.col(slice_) == F.col(off)))
 
     of = F.col(end)
-    middle = of["offset"] + F.col(order)
-    copies = F.coalesce(F.ceil(F.try_divide(of["target"] - middle, of["source_size"])), F.lit(0)).cast("int")
-    copies = F.greatest(F.lit(0), F.least(copies, F.lit(int(recipe.cap))))
+    begin, demand = of["offset"] + F.col(order), F.bround(of["target"]).cast("bigint")
+    passes = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(recipe.cap) - 1)), lambda e: demand - e * of["source_size"] - begin)
+    given = F.filter(passes, lambda left: left > 0)
+    lengths = F.transform(given, lambda left: F.least(left, F.col(size)))
     curve = F.element_at(_curves(recipe), of["rank"] % len(recipe.schedules) + 1)
-    each = F.filter(F.sequence(F.lit(0), F.lit(int(recipe.cap) - 1)), lambda e: e < copies)
+    middles = F.transform(given, lambda left: F.least(F.lit(1.0), (demand - left + F.least(left, F.col(size)) / 2) / of["target"]))
     out = {
         f"{prefix}size": F.col(size),
         f"{prefix}source_size": of["source_size"],
         f"{prefix}target": of["target"],
-        f"{prefix}positions": F.transform(each, lambda e: _when((e * of["source_size"] + middle) / of["target"], curve)),
-        f"{prefix}taken": F.col(size) * copies,
+        f"{prefix}positions": F.transform(middles, lambda share: _when(share, curve)),
+        f"{prefix}lengths": lengths,
+        f"{prefix}taken": F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, n: a + n),
     }
     return placed.select(*[F.col(c) for c in df.columns if c not in out], *[v.alias(k) for k, v in out.items()])
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, rf"(?<={WORD[:-1]})(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
+
+
 def mix(df: DataFrame, recipe: Recipe = Recipe(), *, id: str = "doc_id", text: str = "text", source: str = "source", position: str | None = None) -> DataFrame:
-    """The mix itself: df's rows as often as they are taken, range-sorted by training time.
+    """The mix itself: df's rows as often as they are taken, range-sorted by training time; a copy taken in part has its first words only.
 
     position names an added column with that time. Rows, nulls and ties are treated as in mix_plan.
     """
     (at,) = fresh(df, "position")
     planned = mix_plan(df, recipe, id=id, text=text, source=source, prefix=f"{at}_")
-    copies = planned.select(*df.columns, F.explode(f"{at}_positions").alias(position or at))
+    copies = planned.select(*df.columns, F.col(f"{at}_size"), F.explode(F.arrays_zip(f"{at}_positions", f"{at}_lengths")).alias(at))
+    part = F.when(F.col(at)[f"{at}_lengths"] < F.col(f"{at}_size"), first_words(F.col(text), F.col(at)[f"{at}_lengths"])).otherwise(F.col(text))
+    copies = copies.select(*[part.alias(c) if c == text else F.col(c) for c in df.columns], F.col(at)[f"{at}_positions"].alias(position or at))
     ordered = copies.repartitionByRange(position or at).sortWithinPartitions(position or at)
     return ordered if position else ordered.select(*df.columns)

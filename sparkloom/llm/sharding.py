@@ -80,7 +80,7 @@ def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: s
 
     size is the text's bytes plus 16. Groups larger than a shard are laid over the first shards one after the other, each over as few
     as its rows fill (two more where the cut or a neighbour shifts it); they don't move, and the rest starts in the room they leave. A null text has size 16, crc32 of no bytes, and is linked to nothing; an empty text is a text
-    like others. Null and repeated ids are rows of their own. The rows that travel hold
+    like others. Null and repeated ids are rows of their own. Shards follow from the rows alone, however they are partitioned. The rows that travel hold
     numbers only, never the text.
     """
     if law not in ("rows", "bytes"):
@@ -90,7 +90,9 @@ def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: s
         F.col(id).alias("doc_id"), (F.octet_length(whole) + 16).cast("bigint").alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"),
         F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("group"),
     )
-    light = stage(light.withColumn("id", F.monotonically_increasing_id()), "shard-rows")
+    # A row's number is a hash of what it is, and of which of its like, so that nothing depends on how rows are dealt.
+    which = F.row_number().over(Window.partitionBy("doc_id", "group", "size").orderBy("text_crc32"))
+    light = stage(light.withColumn("id", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.hex("group"), F.lit("null")), which)))), "shard-rows")
     total = light.count()
     hubs = light.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     hubs = stage(hubs, "shard-hubs")
@@ -104,7 +106,7 @@ def shard_documents(df: DataFrame, shards: int = 40, *, law: str = "rows", id: s
     at = F.coalesce("ahead", F.lit(ahead[-1])) + unit(F.xxhash64("id")) * F.coalesce("large", F.lit(total - ahead[-1]))
     start = light.select("id", F.least(F.floor(at * shards / max(total, 1)), F.lit(shards - 1)).cast("int").alias("shard"))
     labels = propagate(start, edges, shards, rounds=rounds, slack=0.25)  # the cut evens out what is over
-    tie = F.when(F.col("large").isNull(), F.coalesce("group", "id")).otherwise(F.col("id"))  # a large group fills its shards anyway
-    rows = light.withColumn("tie", F.xxhash64(tie)).drop("large", "ahead").join(labels, "id")
+    tie = F.when(F.col("large").isNull() & F.col("group").isNotNull(), F.xxhash64("group")).otherwise(F.xxhash64("id"))  # a large group fills its shards anyway
+    rows = light.withColumn("tie", tie).drop("large", "ahead").join(labels, "id")
     placed = cut(rows, shards, law=law)
     return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot")

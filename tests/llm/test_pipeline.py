@@ -30,18 +30,22 @@ def test_stages_by_hand(spark, documents, tmp_path):
     rows = [(r.doc_id, r.text, r.source) for r in lines]
     assert sorted(r.doc_id for r in near) == sorted(set(classes(rows)))
     texts = {r.doc_id: r.text for r in near}
-    assert all(texts[r.doc_id] == r.text for r in mixed)
+    assert all(texts[r.doc_id].startswith(r.text) for r in mixed)  # a copy taken in part is cut
+    assert len({(r.doc_id, r.text) for r in mixed if r.text != texts[r.doc_id]}) <= len({r.source for r in mixed})
     encoder = packing.WordEncoder(queries.word_tokenizer())
-    ids = {d: np.array([*encoder.library.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
-    assert sum(p.length for p in packed) == sum(len(ids[r.doc_id]) for r in mixed)
-    assert all(p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) for p in packed)
+    ids = {(r.doc_id, r.text): np.array([*encoder.library.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for r in mixed}
+    assert sum(p.length for p in packed) == sum(len(ids[r.doc_id, r.text]) for r in mixed)
+    of = {}
+    for (d, _), x in ids.items():
+        of.setdefault(d, []).append(x)
+    assert all(any(p.ids_crc32 == zlib.crc32(x[p.start : p.start + p.length].tobytes()) and len(x) == p.doc_tokens for x in of[p.doc_id]) for p in packed)
 
 
 def test_odd_rows_pass_all_stages(spark, odd, none, tmp_path):
     docs = odd.withColumn("lang", langid.F.lit("en"))
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, "")
-    assert docs.count() > 0
+    assert {r.doc_id for r in docs.collect()} >= {4, 6, 7, 8}
     docs = none
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, "")

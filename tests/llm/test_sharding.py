@@ -35,6 +35,11 @@ def test_groups_stay_together(make):
     assert sum(len(g) > 1 for g in groups.values()) <= 50  # of 200; by chance all but a few would be apart
 
 
+def test_partitions_change_nothing(documents):
+    one, two = (sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(documents.repartition(n), 10).collect()) for n in (2, 9))
+    assert one == two
+
+
 def test_a_group_larger_than_a_shard(make):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i}", "s") for i in range(900)]
     placed = sharding.shard_documents(make(rows), 10).collect()
