@@ -24,7 +24,8 @@ _U = np.uint64
 _M1, _M2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _PLACE = _U((1 << 20) - 1)
-_CHUNK = (1 << 20) - 4096
+_LONGEST = 4097
+_CHUNK = (1 << 20) - _LONGEST + 1
 _FIRST = 7
 
 
@@ -237,19 +238,61 @@ def _covered(members: DataFrame, least: int) -> DataFrame:
     return _by_anchor(members, least, work, "anchor long, content long, a int, b int")
 
 
-def _windows(members: DataFrame, least: int) -> DataFrame:
-    """The same for anchors with very many segments, whose suffixes are dealt out one by one: each window by its 128-bit hash."""
+def _recut(members: DataFrame, least: int, gram: int) -> DataFrame:
+    """(above, within, anchor, content, start, length, m) of (anchor, content, bytes): the segments of segments by longer anchors. above and within are those segments' anchor and content."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
         for batch in batches:
-            for anchor, content, data in zip(batch["anchor"], batch["content"], batch["bytes"], strict=True):
-                digests = [hashlib.blake2b(data[i : i + least], digest_size=16).digest() for i in range(len(data) - least + 1)]
-                yield pd.DataFrame({"anchor": anchor, "content": content, "at": np.arange(len(digests), dtype=np.int32), "digest": digests})
+            for begin in range(0, batch.num_rows, 512):
+                out: list[tuple[np.ndarray, ...]] = []
+                above, within, strings = (c.to_pylist() for c in batch.slice(begin, 512).columns)
+                for a, w, data in zip(above, within, strings, strict=True):
+                    h, content, first, length = segments(np.frombuffer(data, np.uint8), hasher, least, gram)
+                    anchor = _mix(h ^ _mix(np.full(1, a).view(_U)))
+                    part = b"".join(hashlib.blake2b(data[x : x + n], digest_size=8, key=c.tobytes()).digest() for x, n, c in zip(first, length, content, strict=True))
+                    n = len(first)
+                    out.append((np.full(n, a), np.full(n, w), anchor.view(np.int64), np.frombuffer(part, np.int64), first, length, np.ones(n, np.int64)))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                columns = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["above", "within", "anchor", "content", "start", "length", "m"])
+
+    return members.select("anchor", "content", "bytes").mapInArrow(run, "above long, within long, anchor long, content long, start long, length int, m int")
+
+
+def _shared(cut: DataFrame) -> DataFrame:
+    """The segments whose anchor another has, with their own number n and their anchor's number of different ones and of those there once."""
+    counted = cut.groupBy("anchor", "content").agg(F.sum("m").alias("n"))
+    anchors = counted.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different"), F.count_if(F.col("n") == 1).alias("once")).filter(F.col("all") > 1)
+    shared = counted.join(anchors, "anchor").select("anchor", "content", "n", "different", "once")
+    return stage(cut.join(shared, ["anchor", "content"]).drop("m"), "suffix-shared")
 
-    windows = members.select("anchor", "content", "bytes").mapInPandas(run, "anchor long, content long, at int, digest binary")
-    windows = windows.dropDuplicates(["anchor", "content", "at"])
-    often = windows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return windows.join(often, ["anchor", "digest"]).select("anchor", "content", F.col("at").alias("a"), (F.col("at") + least).alias("b"))
+
+def _compared(members: DataFrame, least: int, gram: int, suffix_rows: int) -> DataFrame:
+    """(anchor, content, a, b): what repeats cover of each of the members (anchor, content, different, bytes).
+
+    The segments of an anchor are compared by a suffix array. Those of an anchor that has more than suffix_rows are
+    first cut again, by anchors of twice the length, and so on up to `least` bytes, where a window is its own anchor and equal ones are equal segments.
+    Equal windows have equal anchors at each length, so no repeat is lost, and no suffix array holds more.
+    """
+    few, many = members.filter(F.col("different") <= suffix_rows), members.filter(F.col("different") > suffix_rows)
+    covered = _covered(few, least)
+    if gram >= least or many.isEmpty():
+        return covered
+    gram, many = min(2 * gram, least), many.dropDuplicates(["anchor", "content"])
+    found = _shared(stage(_recut(many, least, gram), "suffix-deeper"))
+    above = [F.col("above").alias("anchor"), F.col("within").alias("content")]
+    whole = found.filter("n > 1").select(*above, F.col("start").cast("int").alias("a"), (F.col("start") + F.col("length")).cast("int").alias("b"))
+    covered = covered.unionByName(whole)
+    if gram == least:
+        return covered
+    open_ = found.filter((F.col("different") > 1) & (F.col("once") > 0))
+    chosen = open_.groupBy("anchor", "content").agg(F.min(F.struct("above", "within", "start", "length")).alias("at"), F.first("different").alias("different"))
+    texts = many.select(F.col("anchor").alias("above"), F.col("content").alias("within"), "bytes")
+    part = F.substring(F.col("bytes"), F.col("start").cast("int") + 1, F.col("length"))
+    inner = chosen.select("anchor", "content", "different", "at.*").join(texts, ["above", "within"]).select("anchor", "content", "different", part.alias("bytes"))
+    single = open_.filter("n = 1").join(_compared(stage(inner, "suffix-members"), least, gram, suffix_rows), ["anchor", "content"])
+    return covered.unionByName(single.select(*above, (F.col("start") + F.col("a")).cast("int").alias("a"), (F.col("start") + F.col("b")).cast("int").alias("b")))
 
 
 def _few(df: DataFrame, lists: str, most: int) -> DataFrame:
@@ -264,15 +307,13 @@ def repeated_spans(
     """(k, size, spans) of texts (k, size, text: binary of at least `least` bytes): for each distinct text the ranges covered by repeats.
 
     k and size identify a text. A segment whose bytes occur twice is a repeat as it stands. The others of its anchor
-    are compared by a suffix array, or, from suffix_rows different segments on, window by window. The counts travel as hashes; only the
+    are compared by suffix arrays; suffix_rows is how many segments one takes before longer anchors part them. The counts travel as hashes; only the
     bytes of segments that share an anchor with another do. Texts are sent the list of their segments by a broadcast up to broadcast_rows
-    entries, beyond by a shuffle.
+    entries, beyond by a shuffle. `least` is from gram to 4,097 bytes; others are an error.
     """
-    cut = stage(_cut(texts, least, gram), "suffix-segments")
-    counted = cut.groupBy("anchor", "content").agg(F.sum("m").alias("n"))
-    anchors = counted.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different"), F.count_if(F.col("n") == 1).alias("once")).filter(F.col("all") > 1)
-    shared = counted.join(anchors, "anchor").select("anchor", "content", "n", "different", "once")
-    found = stage(cut.join(shared, ["anchor", "content"]).drop("m"), "suffix-shared")
+    if not gram <= least <= _LONGEST:
+        raise ValueError(f"least must be from {gram} to {_LONGEST} bytes")
+    found = _shared(stage(_cut(texts, least, gram), "suffix-segments"))
 
     open_ = found.filter((F.col("different") > 1) & (F.col("once") > 0))
     chosen = open_.groupBy("anchor", "content").agg(F.min(F.struct("k", "size", "start", "length")).alias("at"), F.first("different").alias("different"))
@@ -282,8 +323,7 @@ def repeated_spans(
     part = F.substring(F.col("text"), F.col("w.start").cast("int") + 1, F.col("w.length"))
     members = stage(located.select("w.anchor", "w.content", "w.different", part.alias("bytes")), "suffix-members")
 
-    few, many = members.filter(F.col("different") <= suffix_rows), members.filter(F.col("different") > suffix_rows)
-    covered = stage(_covered(few, least).unionByName(_windows(many, least)), "suffix-covered")
+    covered = stage(_compared(members, least, gram, suffix_rows), "suffix-covered")
 
     whole = found.filter("n > 1").select("k", "size", "start", (F.col("start") + F.col("length")).alias("stop"))
     single = open_.filter("n = 1").join(covered, ["anchor", "content"]).select("k", "size", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"))
@@ -300,7 +340,7 @@ def remove_repeats(df: DataFrame, least: int = 200, *, id: str = "doc_id", text:
 
     A byte goes if a string of `least` bytes over it also starts anywhere else, in this text or another, judged on the
     input. A null text is empty; texts under `least` bytes stay whole; texts that repeat go wholly from that
-    length on; an empty table gives an empty one.
+    length on; an empty table gives an empty one. `least` is from gram (64) to 4,097.
     """
     rows = df.select(F.col(id), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumns({"k": F.xxhash64("text"), "size": F.octet_length("text").cast("bigint")})

@@ -53,7 +53,7 @@ def test_maximal_repeats():
     assert {k: len(v) for k, v in found.items()} == want
 
 
-@pytest.mark.parametrize("how", [{}, {"suffix_rows": 1}, {"broadcast_rows": 0}])
+@pytest.mark.parametrize("how", [{}, {"suffix_rows": 1}, {"suffix_rows": 6}, {"suffix_rows": 1, "least": 64}, {"broadcast_rows": 0}])
 def test_against_brute_force(make, how):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(300)]
@@ -76,6 +76,12 @@ def test_long_texts_are_cut_without_loss(make):
     assert got == {1: (300, 1), 2: (300, 1)}
 
 
+def test_least_has_bounds(make):
+    for least in (63, 4098):
+        with pytest.raises(ValueError, match="least"):
+            suffix_dedup.remove_repeats(make([(1, "a", "s")]), least)
+
+
 def test_odd_rows(odd, none):
     small = [r for r in ODD if r[0] != 7]
     check(odd.filter("doc_id is null or doc_id <> 7"), small)
