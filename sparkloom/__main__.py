@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from .plans.prepare import prepare, train_tokenizer, write_batches
-from .plans.specs import PrepSpec, RunSpec, TokenizerSpec, TokenizerTrainerSpec
+from .plans.specs import compose
 from .session import session
-from .sources.tables import LocalSource, load_tokenizer
+from .sources.tables import load_tokenizer
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -20,7 +21,7 @@ def main(arguments: list[str] | None = None) -> None:
     train.add_argument("--vocab-size", type=int, default=32000)
     train.add_argument("--out", default="tokenizer")
     prep = commands.add_parser("prepare")
-    prep.add_argument("--table", required=True)
+    prep.add_argument("--table")
     prep.add_argument("--column", default="text")
     prep.add_argument("--key", default="row_id")
     prep.add_argument("--tokenizer", required=True)
@@ -32,15 +33,26 @@ def main(arguments: list[str] | None = None) -> None:
     prep.add_argument("--devices", type=int, default=1)
     prep.add_argument("--workers", type=int, default=1)
     prep.add_argument("--overwrite", action="store_true")
+    for command in (train, prep):
+        command.add_argument("--set", nargs="*", default=(), metavar="GROUP=NAME or GROUP.FIELD=VALUE", help="any setting of the registry; takes precedence over the other options")
     args = parser.parse_args(arguments)
+    quoted = lambda what, value: [f"{what}={json.dumps(value)}"]
     spark = session("sparkloom")
     if args.command == "train-tokenizer":
-        train_tokenizer(spark, TokenizerTrainerSpec(args.table, tuple(args.files), args.column, args.out), TokenizerSpec(vocab_size=args.vocab_size))
+        own = quoted("tokenizer_trainer.column", args.column) + quoted("tokenizer_trainer.save_folder", args.out) + quoted("tokenizer.vocab_size", args.vocab_size)
+        own += quoted("tokenizer_trainer.dataset_path", args.table) + quoted("tokenizer_trainer.dataset_files", args.files)
+        made = compose(args.command, *own, *args.set)
+        train_tokenizer(spark, made["tokenizer_trainer"], made["tokenizer"])
     else:
-        source = LocalSource(column=args.column, key=args.key, path=args.table, seed=args.seed)
-        spec = PrepSpec(input_length=args.input_length, train_batch=args.batch, valid_batch=args.batch, devices=args.devices, workers=args.workers)
-        run = RunSpec(output_dir=args.out, overwrite_cache=args.overwrite, seed=args.seed, epochs=args.epochs)
-        chunks = prepare(spark, source, args.tokenizer, spec, run)
+        own = ["dataset=local", *quoted("dataset.path", args.table)] if args.table else []
+        for what, value in (
+            ("dataset.column", args.column), ("dataset.key", args.key), ("dataset.seed", args.seed), ("data.input_length", args.input_length), ("data.train_batch", args.batch), ("data.valid_batch", args.batch),
+            ("data.devices", args.devices), ("data.workers", args.workers), ("training.output_dir", args.out), ("training.overwrite_cache", args.overwrite), ("training.seed", args.seed), ("training.epochs", args.epochs),
+        ):
+            own += quoted(what, value)
+        made = compose(args.command, *own, *args.set)
+        spec, run = made["data"], made["training"]
+        chunks = prepare(spark, made["dataset"], args.tokenizer, spec, run)
         write_batches(chunks, load_tokenizer(args.tokenizer, spark), spec, run)
 
 

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import wraps
+from typing import Protocol
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +126,37 @@ def decayed(path: Column) -> Column:
 def append_metrics(df: DataFrame, path: str) -> None:
     """Adds long rows (step, name, value) to the log at path."""
     df.select(F.col("step").cast("bigint"), F.col("name").cast("string"), F.col("value").cast("double")).write.mode("append").parquet(path)
+
+
+class Logger(Protocol):
+    """Where metric rows (step, name, value) go."""
+
+    def log(self, df: DataFrame) -> None: ...
+
+
+@dataclass(frozen=True)
+class TableLogger:
+    """Adds rows to the log at path."""
+
+    path: str
+
+    def log(self, df: DataFrame) -> None:
+        append_metrics(df, self.path)
+
+
+class PrintLogger:
+    """Prints rows one by one, for a look at a few."""
+
+    def log(self, df: DataFrame) -> None:
+        for row in df.select("step", "name", "value").toLocalIterator():
+            print(f"{row['step']} {row['name']} {row['value']}")
+
+
+def driver_only(action: Callable) -> Callable:
+    """action on the driver; within a task it does nothing and gives None."""
+
+    @wraps(action)
+    def run(*args, **kwargs):
+        return action(*args, **kwargs) if TaskContext.get() is None else None
+
+    return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +38,32 @@ def segments(df: DataFrame, model: bpe.Model, source: tables.Source, prep: PrepS
 
 
 def epoch_batches(chunks: DataFrame, prep: PrepSpec, model: bpe.Model, *, epoch: int = 0, seed: int = 42, train: bool = True) -> DataFrame:
-    """An epoch's examples with their place. Noise is drawn anew each epoch, as a function of epoch and chunk."""
+    """An epoch's examples with their place. Noise is drawn anew each epoch, as a function of epoch and chunk. Tasks (a column task) take turns."""
     sentinel = model.vocabulary.get("<extra_id_0>", len(model.vocabulary))
-    placed = batching.iterate(
-        chunks.drop("batch_id"), "chunk", prep.train_batch if train else prep.valid_batch, workers=prep.workers, devices=prep.devices, shuffled=train, drop_last=True, seed=seed, epoch=epoch
-    )
-    return noise.denoise(placed, "input_ids", sentinel, seed, "noise", epoch, F.col("chunk"), density=prep.noise_density, mean_span=prep.mean_span, start=prep.decoder_start)
+    size, how = prep.train_batch if train else prep.valid_batch, {"workers": prep.workers, "devices": prep.devices, "shuffled": train, "drop_last": True, "seed": seed, "epoch": epoch}
+    if "task" in chunks.columns:
+        placed, key = batching.multitask(chunks.drop("batch_id"), "task", "chunk", size, **how), [F.col("task"), F.col("chunk")]
+    else:
+        placed, key = batching.iterate(chunks.drop("batch_id"), "chunk", size, **how), [F.col("chunk")]
+    return noise.denoise(placed, "input_ids", sentinel, seed, "noise", epoch, *key, density=prep.noise_density, mean_span=prep.mean_span, start=prep.decoder_start)
+
 
+def prepare(spark: SparkSession, source: tables.Source | tables.MultitaskSource, tokenizer: str, prep: PrepSpec = PrepSpec(), run: RunSpec = RunSpec()) -> dict[str, DataFrame]:
+    """{'train', 'validation'}: segments of a source, written to the output folder and read back (or read, if they are there).
 
-def prepare(spark: SparkSession, source: tables.Source, tokenizer: str, prep: PrepSpec = PrepSpec(), run: RunSpec = RunSpec()) -> dict[str, DataFrame]:
-    """{'train', 'validation'}: segments of a source, written to the output folder and read back (or read, if they are there)."""
-    model = tables.load_tokenizer(tokenizer)
+    Each task of a MultitaskSource is prepared by its own settings, in a folder of its own, and its segments have its name as task.
+    """
+    if isinstance(source, tables.MultitaskSource):
+        parts = {task: prepare(spark, s, tokenizer, prep, replace(run, output_dir=f"{run.output_dir}/{task}")) for task, s in source.tasks.items()}
+        if not parts:
+            raise ValueError("no tasks")
+        out = {}
+        for task, splits in parts.items():
+            for split, chunks in splits.items():
+                one = chunks.withColumn("task", F.lit(task))
+                out[split] = out[split].unionByName(one) if split in out else one
+        return out
+    model = tables.load_tokenizer(tokenizer, spark)
     rows = tables.load(spark, source)
     out = {}
     for split, size in (("train", prep.train_limit), ("validation", prep.valid_limit)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields
 from typing import Any
 
@@ -143,3 +144,33 @@ for _group, _kinds in {
 }.items():
     for _name, _kind in _kinds.items():
         REGISTRY.add(_group, _name, _kind)
+
+# The kinds of settings that each run is made of, unless told otherwise.
+DEFAULTS = {
+    "train-tokenizer": {"tokenizer": "byte_level_bpe", "tokenizer_trainer": "byte_level_bpe"},
+    "prepare": {"dataset": "named", "data": "span_corruption", "training": "default", "optimizer": "adamw", "schedule": "default"},
+}
+
+
+def _value(text: str) -> Any:
+    """JSON (lists as tuples), or else the text itself."""
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return text
+    return tuple(value) if isinstance(value, list) else value
+
+
+def compose(run: str, *settings: str, registry: Registry = REGISTRY) -> dict[str, Any]:
+    """The settings of a run by group: 'group=name' chooses a kind, 'group.field=value' sets a value, the last one counts."""
+    names, values = dict(DEFAULTS[run]), {}
+    for setting in settings:
+        what, equals, text = setting.partition("=")
+        group, dot, name = what.partition(".")
+        if not equals or group not in names:
+            raise ValueError(f"{run} has no setting {setting}")
+        if dot:
+            values.setdefault(group, {})[name] = _value(text)
+        else:
+            names[group] = text
+    return {group: registry.build(group, name, **values.get(group, {})) for group, name in names.items()}

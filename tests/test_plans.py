@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.__main__ import main
+from sparkloom.functions import metrics
 from sparkloom.plans import prepare, specs
 from sparkloom.sources import tables
 from sparkloom.streaming import rows
@@ -18,6 +19,41 @@ def test_registry():
         specs.REGISTRY.build("optimizer", "adam", speed=1)
 
 
+def test_compose():
+    made = specs.compose("prepare", "dataset=local", "dataset.path=x", "optimizer=adam", "optimizer.b1=0.8", "data.workers=1", "data.workers=2")
+    assert made["dataset"] == tables.LocalSource(path="x") and made["optimizer"] == specs.AdamSpec(b1=0.8) and made["data"].workers == 2
+    assert isinstance(specs.compose("prepare")["optimizer"], specs.AdamWSpec)
+    assert specs.compose("train-tokenizer", 'tokenizer.special_tokens=["<a>"]')["tokenizer"].special_tokens == ("<a>",)
+    for wrong in ("logger=x", "data.speed=1", "dataset", "optimizer=sgd"):
+        with pytest.raises(ValueError):
+            specs.compose("prepare", wrong)
+
+
+def test_loggers(spark, tmp_path, capsys):
+    row = spark.sql("select 1 as step, 'loss' as name, 0.5 as value")
+    metrics.TableLogger(str(tmp_path / "log")).log(row)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [(1, "loss", 0.5)]
+    metrics.PrintLogger().log(row)
+    assert "1 loss 0.5" in capsys.readouterr().out
+    act = metrics.driver_only(lambda: 7)
+    assert act() == 7 and spark.range(1).rdd.map(lambda _: act()).collect() == [None]
+
+
+def test_tasks_are_prepared_by_their_own_sources(spark, tmp_path):
+    spark.read.parquet(TABLE).filter("lang = 'en'").selectExpr("doc_id as id", "text as body").write.parquet(str(tmp_path / "en"))
+    prepare.train_tokenizer(spark, specs.TokenizerTrainerSpec(TABLE, save_folder=str(tmp_path / "t")), specs.TokenizerSpec(vocab_size=300))
+    source = tables.MultitaskSource({"all": tables.LocalSource(key="doc_id", path=TABLE), "en": tables.LocalSource(key="id", column="body", path=str(tmp_path / "en"))})
+    prep, run = specs.PrepSpec(input_length=128), specs.RunSpec(output_dir=str(tmp_path / "o"))
+    chunks = prepare.prepare(spark, source, str(tmp_path / "t"), prep, run)["train"]
+    sizes = {r.task: r["count"] for r in chunks.groupBy("task").count().collect()}
+    assert set(sizes) == {"all", "en"} and sizes["en"] == spark.read.parquet(str(tmp_path / "o/en/train")).count()
+    out = prepare.epoch_batches(chunks, prep, tables.load_tokenizer(str(tmp_path / "t")))
+    first = out.filter("batch_id = 0").orderBy("pos").select("task").collect()
+    assert [r.task for r in first] == ["all", "en"] * 4 and out.count() == sum(sizes.values()) // 8 * 8
+    with pytest.raises(ValueError):
+        prepare.prepare(spark, tables.MultitaskSource(), str(tmp_path / "t"))
+
+
 def test_both_runs(spark, tmp_path):
     main(["train-tokenizer", "--table", TABLE, "--vocab-size", "400", "--out", str(tmp_path / "t")])
     model = tables.load_tokenizer(str(tmp_path / "t"))
