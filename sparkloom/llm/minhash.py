@@ -266,14 +266,14 @@ def _able(mixed: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFra
 
 @dataclass(frozen=True)
 class Orders:
-    """How texts of a bucket are put in order by what they differ in: bands orders by depth coordinates; each is checked against so many neighbours before it. A group's centre is found from looked_at texts."""
+    """How buckets of several classes are searched: up to whole texts pair by pair, larger ones as a group around a centre found from looked_at texts,
+    in blocks of about tile texts and elements differing elements each. None of these change the result.
+    """
 
-    bands: int = 32
-    depth: int = 8
-    neighbours: int = 4
-    hubs: int = 3
     whole: int = 16
     looked_at: int = 64
+    tile: int = 2048
+    elements: int = 2_000_000
 
 
 def _beside(rows: DataFrame, group: list[str], order: list[str], neighbours: int) -> DataFrame:
@@ -310,50 +310,142 @@ def _centres(group: DataFrame, sets: DataFrame, looked_at: int) -> DataFrame:
     return counts.join(_few(sizes, 300_000), "a").filter("2 * n > m").groupBy("a").agg(F.collect_list("element").alias("own"))
 
 
-def _ordered(group: DataFrame, sets: DataFrame, alone: DataFrame, orders: Orders, seed: int) -> DataFrame:
-    """Pairs (a, b) of different classes that may be linked, of groups (a, node, root) around a central text a.
+def _differences(group: DataFrame, sets: DataFrame, alone: DataFrame, similarity: float, orders: Orders) -> DataFrame:
+    """(a, node, root, size, far, slack, diff) of groups (a, node, root) around a central text a.
 
-    x and y differ in what their differences from any third set differ in. So each text of a group is taken as its difference from the group's
-    centre. A link is a common part of such differences, which are small, and of which texts that
-    only stem from the same one share little, much as they look alike. They get DartMinHash signatures; an element only one text has counts for nothing.
-    In each of some bands, texts with an equal first coordinate are sorted by the others, and each is checked against
-    those before it; besides, all are checked against the texts nearest to the centre. So pairs grow with the number of texts, not its square.
+    far is the number of elements that a text and its group's centre differ in, diff those of them that some other text may differ in, too, and slack is
+    far - (1 - s) / (1 + s) size. Linked texts x and y differ in (1 - s) / (1 + s) (|x| + |y|) elements at most, and as they differ in far(x) + far(y) less
+    twice what their differences share, they are linked if and only if that is (slack(x) + slack(y)) / 2 or more, whatever set is the centre.
     """
-    bands = Bands(orders.bands * orders.depth, orders.depth, orders.bands, seed)
     centres = stage(_centres(group, sets, orders.looked_at), "minhash-centres")
     lone = alone.select("node", F.col("alone").alias("ln"))
-    full = _paired(group, sets).join(lone, "node", "left").join(lone.select(F.col("node").alias("a"), F.col("ln").alias("la")), "a", "left").join(_few(centres, 100_000), "a", "left")
-    none = F.array().cast("array<bigint>")
+    full = _paired(group, sets).join(lone, "node", "left").join(_few(centres, 100_000), "a", "left")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                a, node, root = (piece.column(k).to_numpy() for k in range(3))
-                rows = {c: [] for c in ("a", "node", "root", "far", "first", "key", "order")}
-                for k in range(len(a)):
-                    sa, sn = (np.frombuffer(piece.column(c)[k].as_buffer(), np.int64) for c in (3, 4))
-                    la, ln, own = (np.asarray(piece.column(c)[k].values, np.int64) for c in (5, 6, 7))
-                    apart = np.setxor1d(np.setxor1d(sa, sn, assume_unique=True), own)
-                    less = apart[~np.isin(apart, np.concatenate([la, ln]))].astype(_U)
-                    n, key, order = 1, _mix(a[k : k + 1].astype(_U)), [b""]
-                    if len(less):
-                        sig = signature(np.sort(less), np.ones(len(less)), bands).reshape(bands.bands, bands.rows)
-                        n, key = bands.bands, _mix(sig[:, 0] ^ _mix(np.arange(bands.bands, dtype=_U) * _GOLD + a[k].astype(_U)))
-                        order = [x.tobytes() for x in sig[:, 1:]]
-                    for c, v in (("a", [a[k]] * n), ("node", [node[k]] * n), ("root", [root[k]] * n), ("far", [len(apart)] * n), ("first", [True] + [False] * (n - 1)), ("key", key.astype(np.int64)), ("order", order)):
-                        rows[c] += list(v)
-                yield pa.RecordBatch.from_pydict(rows, schema)
-
-    schema = pa.schema([("a", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("far", pa.int64()), ("first", pa.bool_()), ("key", pa.int64()), ("order", pa.binary())])
-    columns = ["a", "node", "root", "sa", "sn", *[F.coalesce(c, none).alias(c) for c in ("la", "ln", "own")]]
-    signed = stage(full.select(*columns).mapInArrow(sign, "a long, node long, root long, far long, first boolean, key long, order binary"), "minhash-signed")
-    firsts = signed.filter("first")
-    place = F.row_number().over(Window.partitionBy("a").orderBy("far", "node"))
-    hubs = firsts.withColumn("place", place).filter(F.col("place") <= orders.hubs).select("a", F.col("node").alias("b"), F.col("root").alias("rb"))
-    to_hubs = firsts.select("a", "node", "root").join(_few(hubs, 300_000), "a").filter("root <> rb")
-    to_hubs = to_hubs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    return to_hubs.union(_beside(signed, ["key"], ["order", "node"], orders.neighbours))
+                piece, far, diff = batch.slice(at, 64), [], []
+                for sa, sn, ln, own in zip(*(piece.column(k) for k in range(4, 8)), strict=True):
+                    sa, sn = (np.frombuffer(x.as_buffer(), np.int64) for x in (sa, sn))
+                    apart = np.setxor1d(np.setxor1d(sa, sn, assume_unique=True), np.asarray(own.values, np.int64))
+                    far.append(len(apart))
+                    diff.append(np.setdiff1d(apart, np.asarray(ln.values, np.int64), assume_unique=True))
+                slack = np.array(far) - (1 - similarity) / (1 + similarity) * piece.column(3).to_numpy()
+                columns = [*piece.columns[:4], pa.array(far, pa.int64()), pa.array(slack, pa.float64()), pa.array(diff, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "node", "root", "size", "far", "slack", "diff"])
+
+    none = F.array().cast("array<bigint>")
+    columns = ["a", "node", "root", (F.octet_length("sn") / 8).cast("bigint").alias("size"), "sa", "sn", *[F.coalesce(c, none).alias(c) for c in ("ln", "own")]]
+    return stage(full.select(*columns).mapInArrow(differ, "a long, node long, root long, size long, far long, slack double, diff array<long>"), "minhash-diffs")
+
+
+def _sharing(x: list[np.ndarray], y: list[np.ndarray], most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (i, j, n): x[i] and y[j], arrays of distinct numbers, have n > 0 numbers in common."""
+    if not len(x) or not len(y):
+        return
+    long_x, long_y = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    number = np.unique(np.concatenate([*x, *y]), return_inverse=True)[1]
+    of_x, of_y = number[: long_x.sum()], number[long_x.sum() :]
+    holders = np.repeat(np.arange(len(y)), long_y)[np.argsort(of_y, kind="stable")]
+    ends = np.cumsum(np.bincount(of_y, minlength=number.max(initial=-1) + 1))
+    times = np.diff(ends, prepend=0)[of_x]
+    row = np.repeat(np.arange(len(x)), long_x)
+    start, work = np.cumsum(long_x) - long_x, np.cumsum(np.bincount(row, times, len(x)) + len(y))
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + most, side="right")))
+        part = slice(start[at], start[to - 1] + long_x[to - 1])
+        n, last = times[part], ends[of_x[part]]
+        which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - last, n)
+        counts = np.bincount((np.repeat(row[part], n) - at) * len(y) + holders[which], minlength=(to - at) * len(y))
+        both = np.flatnonzero(counts)
+        yield both // len(y) + at, both % len(y), counts[both]
+        at = to
+
+
+def _tile_links(similarity: float):
+    """Of a tile's texts of two cells (or one, with itself), links that connect the same as all its links of different classes do.
+
+    Pairs of texts that are both of the hub's class for sure (near) are left out.
+    """
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        node, size, far, near, cell = (tile[c].to_numpy() for c in ("node", "size", "far", "near", "cell"))
+        diff, label = tile["diff"].to_numpy(), np.unique(tile["root"].to_numpy(), return_inverse=True)[1]
+        one, two = cell == tile["lo"].iloc[0], cell == tile["hi"].iloc[0]
+        found = []
+        for rows, columns in ((one & ~near, two), (two & ~near & ~one, one & near)):
+            rows, columns = np.flatnonzero(rows), np.flatnonzero(columns)
+            for i, j, n in _sharing(list(diff[rows]), list(diff[columns])):
+                i, j = rows[i], columns[j]
+                other = label[i] != label[j]
+                i, j, n = i[other], j[other], n[other]
+                both = (size[i] + size[j] - far[i] - far[j]) // 2 + n
+                good = both >= similarity * (size[i] + size[j] - both) - 1e-12
+                i, j = i[good], j[good]
+                first = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)[1] if len(i) else []
+                for x, y in zip(i[first], j[first], strict=True):
+                    if label[x] != label[y]:
+                        found.append((node[x], node[y]))
+                        label[label == label[y]] = label[x]
+        return pd.DataFrame({"a": [min(p) for p in found], "b": [max(p) for p in found]}, dtype=np.int64)
+
+    return run
+
+
+def _tokens(live: DataFrame, large: DataFrame, orders: Orders) -> tuple[DataFrame, DataFrame]:
+    """(a, part, node, cells, prefer) and (a, prefer): blocks of the texts of large groups (a, n, cells) by elements that two linked ones share; prefer where that takes fewer copies than the whole group.
+
+    A text that must share need of its differing elements with any other shares one of all but need - 1 of them, whichever are left out; those most texts have are.
+    """
+    element = live.join(large.select("a"), "a").select("a", "node", "need", F.size("diff").alias("long"), F.explode("diff").alias("part"))
+    element = stage(element, "minhash-elements")
+    times = element.groupBy("a", "part").agg(F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(Window.partitionBy("a", "node").orderBy("times", "part"))
+    token = element.join(times, ["a", "part"]).withColumn("place", place).filter(F.col("place") <= F.col("long") - F.col("need") + 1)
+    token = stage(token.select("a", "part", "node", "long"), "minhash-tokens")
+    blocks = _cells(token.groupBy("a", "part"), F.sum("long"), orders).filter("n > 1").select("a", "part", "n", "cells")
+    copies = blocks.groupBy("a").agg(F.sum(F.col("n") * F.col("cells")).alias("copies"))
+    better = large.join(copies, "a", "left").select("a", (F.coalesce("copies", F.lit(0)) < F.col("n") * F.col("cells")).alias("prefer"))
+    return token.join(blocks.drop("n"), ["a", "part"]).join(better, "a").select("a", "part", "node", "cells", "prefer"), better
+
+
+def _cells(grouped, elements, orders: Orders) -> DataFrame:
+    """The groups with their n texts, and the number of cells that these are dealt to."""
+    counted = grouped.agg(F.count(F.lit(1)).alias("n"), elements.alias("elements"))
+    return counted.withColumn("cells", F.greatest(F.ceil(F.col("n") / orders.tile), F.ceil(F.col("elements") / orders.elements)).cast("int"))
+
+
+def _group_links(group: DataFrame, sets: DataFrame, alone: DataFrame, similarity: float, orders: Orders) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) yet to be checked, and links (a, b), that connect all that links of texts of groups (a, node, root) connect: exact.
+
+    If the slack of two texts is 0 or less together, that of each with the group's hub, the text of least slack, is, too, so all such links are
+    made by checking texts against the hub. Other linked texts share an element of their differences (see _differences). So groups are compared in
+    tiles, where shared elements are counted without a row a pair; large groups either as a whole or by elements, whichever takes fewer copies. Texts that share too
+    few with any other of their group for a further link are left out.
+    """
+    diffs = _differences(group, sets, alone, similarity, orders)
+    hub = diffs.groupBy("a").agg(F.min(F.struct("slack", "node", "root")).alias("h")).select("a", F.col("h.slack").alias("least"), F.col("h.node").alias("b"), F.col("h.root").alias("rb"))
+    known = diffs.join(_few(stage(hub, "minhash-hubs"), 300_000), "a")
+    pairs = known.filter("root <> rb and slack + least <= 1e-6").select(F.least("node", "b").alias("x"), F.greatest("node", "b").alias("y")).toDF("a", "b")
+    known = known.withColumn("near", F.expr("slack + least <= -1e-6")).drop("b", "rb")
+    # What is near the hub only looks for texts that are not.
+    rest = known.groupBy("a").agg(F.min(F.when(~F.col("near"), F.col("slack"))).alias("outer")).filter("outer is not null")
+    known = known.join(_few(stage(rest, "minhash-outer"), 300_000), "a")
+    need = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.when(F.col("near"), F.col("outer")).otherwise(F.col("least"))) / 2 - 1e-6))
+    live = stage(known.withColumn("need", need).filter(F.size("diff") >= F.col("need")).drop("slack", "least", "outer"), "minhash-live")
+    whole = stage(_cells(live.groupBy("a"), F.sum(F.size("diff")), orders), "minhash-whole")
+    blocks = live.join(_few(whole.select("a", "cells"), 300_000), "a").withColumn("part", F.lit(None).cast("bigint"))
+    large = whole.filter("cells > 1")
+    if not large.isEmpty():
+        token, better = _tokens(live, large, orders)
+        blocks = blocks.join(_few(better, 300_000), "a", "left").filter("prefer is null or not prefer").drop("prefer")
+        blocks = blocks.unionByName(live.join(token.filter("prefer").drop("prefer"), ["a", "node"]))
+    cell = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    tiles = blocks.withColumn("cell", cell).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    tiles = tiles.withColumn("lo", F.least("cell", "with")).withColumn("hi", F.greatest("cell", "with"))
+    columns = ["a", "part", "lo", "hi", "cell", "node", "root", "size", "far", "near", "diff"]
+    return pairs, tiles.select(*columns).groupBy("a", "part", "lo", "hi").applyInPandas(_tile_links(similarity), "a long, b long")
 
 
 def near_classes(
@@ -367,8 +459,8 @@ def near_classes(
     texts are folded first. Texts that share a band are candidates, and each bucket's least text is checked exactly against the rest.
     Where that leaves a bucket in different classes, texts that by their own elements alone can't have a further link are set aside; of the others,
     those in buckets of up to orders.whole are checked pair by pair. The larger ones whose most central texts are of one class form a group, whose
-    texts are checked against the most central one and in the orders of _ordered. So a bucket of m near copies costs some m checks at most. Of pairs at the similarity that share a band, those orders find
-    nearly all (tests); with exact, all of different classes are checked, at a cost that grows with m^2.
+    links _group_links finds without a row a pair. So all that links of texts that share a band connect is one class; exact checks
+    each pair of a bucket by itself instead, which gives the same.
     """
     rows = df.filter(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("h"), F.col(id).alias("id"), F.col(text).alias("text"))
     signed = _signed(rows, bands, words, weighted).groupBy("h").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
@@ -390,7 +482,7 @@ def near_classes(
     able, alone = _able(mixed, sets, similarity)
     able = stage(able, "minhash-able")
     placed = stage(_placed(able, roots), "minhash-mixed")
-    few, many = placed.filter(F.col("m") <= orders.whole), placed.filter(F.col("m") > orders.whole)
+    few, many, found = placed.filter(F.col("m") <= orders.whole), placed.filter(F.col("m") > orders.whole), None
     if exact:
         other = placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
         pairs = placed.join(other, "bucket").filter("node < b and root <> rb").select(F.col("node").alias("a"), "b")
@@ -401,10 +493,11 @@ def near_classes(
             centre = stage(centre.select("bucket", F.struct("rank", F.col("node").alias("a")).alias("c"), F.col("root").alias("ra")), "minhash-centres")
             one = _few(centre.groupBy("ra").agg(F.max("c")["a"].alias("a")), 300_000)
             group = stage(many.join(centre.select("bucket", "ra"), "bucket").select("ra", "node", "root").distinct().join(one, "ra"), "minhash-groups")
-            centred = group.filter("root <> ra").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            pairs = pairs.union(centred).union(_ordered(group.drop("ra"), sets, alone, orders, bands.seed + 1))
+            checked, found = _group_links(group.drop("ra"), sets, alone, similarity, orders)
+            pairs = pairs.union(checked)
     pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-    links = stage(_linked(pairs, sets, similarity), "minhash-links")
+    links = _linked(pairs, sets, similarity)
+    links = stage(links if found is None else links.union(found).distinct(), "minhash-links")
     if not links.isEmpty():
         of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
         lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))

@@ -152,6 +152,46 @@ def test_near_copies_of_an_absent_text(make, monkeypatch):
     assert all(n < 50 * m for m, n in checked.items()), checked  # all pairs: 500 and 2000 halved a text
 
 
+def needles(rng, decoys):
+    """Texts with 4 words of one text replaced, of which each two have one place 4 words apart, so that the runs they lack have one in common: just enough for a link; and decoys with 7."""
+    words, texts = [f"w{x}" for x in rng.integers(0, 1 << 40, 360)], []
+
+    def replaced(places):
+        return " ".join(f"new{rng.integers(1 << 40)}" if k in places else w for k, w in enumerate(words))
+
+    for p in range(6, 320, 40):
+        texts += [replaced({p, p + 10, p + 15, p + 20}), replaced({p + 4, p + 25, p + 30, p + 35})]
+    return texts + [replaced(set((5 + rng.integers(5) + 5 * rng.choice(69, 7, replace=False)).tolist())) for _ in range(decoys)]
+
+
+def linked_in_a_band(rows, bands):
+    """Least id of each row's class, of links between texts that share a band."""
+    parts = [shingles(t.encode()) for _, t, _ in rows]
+    keys = np.stack([band_keys(signature(*p, bands), bands) for p in parts])
+    element = {e: k for k, e in enumerate(np.unique(np.concatenate([p[0] for p in parts])).tolist())}
+    table = np.zeros((len(rows), len(element)), np.float32)
+    for i, (found, times) in enumerate(parts):
+        assert times.max() == 1
+        table[i, [element[e] for e in found.tolist()]] = 1
+    both, size = table @ table.T, table.sum(1)
+    linked = (both >= 0.8 * (size[:, None] + size - both) - 1e-6) & (keys[:, None] == keys[None]).any(2)
+    a, b = np.nonzero(linked)
+    least = np.array([r[0] for r in rows])
+    while (least[a] != least[b]).any():
+        np.minimum.at(least, a, least[b])
+    return dict(zip((r[0] for r in rows), least.tolist(), strict=True)), len(a) - len(rows)
+
+
+@pytest.mark.parametrize("how", [{}, {"tile": 40}, {"elements": 500}, {"looked_at": 1, "tile": 30}])
+def test_no_link_in_a_bucket_is_missed(make, how):
+    """A single band makes one large bucket a text; each link in it must be found, however many texts that aren't linked are as near."""
+    rng, bands = np.random.default_rng(3), Bands(1, 1, 1)
+    rows = [(1000 * g + i, t, "s") for g in range(2) for i, t in enumerate(needles(rng, 150))]
+    want, links = linked_in_a_band(rows, bands)
+    assert links >= 16
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(make(rows), bands=bands, orders=minhash.Orders(**how)).collect()} == want
+
+
 def test_odd_rows(odd, none):
     got = Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(odd).collect())
     assert got == Counter(zip((r[0] for r in ODD), (c if c is not None else r[0] for c, r in zip(classes(ODD), ODD, strict=True)), strict=True))
