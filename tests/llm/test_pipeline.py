@@ -3,11 +3,11 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from sparkloom.llm import langid, packing, queries
+from sparkloom.llm import langid, minhash, packing, queries
 
 from .conftest import ODD
 from .test_line_dedup import by_hand
-from .test_minhash import classes
+from .test_minhash import classes, linked_in_a_band, needles
 
 
 def test_stages_by_hand(spark, documents, tmp_path):
@@ -41,6 +41,17 @@ def test_stages_by_hand(spark, documents, tmp_path):
     assert all(any(p.ids_crc32 == zlib.crc32(x[p.start : p.start + p.length].tobytes()) and len(x) == p.doc_tokens for x in of[p.doc_id]) for p in packed)
 
 
+def test_near_dedup_misses_no_link_in_a_bucket(spark, make, monkeypatch):
+    """One row of each class stays, with a single band, which makes one large bucket of each group's texts."""
+    bands = minhash.Bands(1, 1, 1)
+    monkeypatch.setitem(minhash.near_classes.__kwdefaults__, "bands", bands)
+    rng = np.random.default_rng(3)
+    rows = [(1000 * g + i, t, "s") for g in range(2) for i, t in enumerate(needles(rng, 150))]
+    want, _ = linked_in_a_band(rows, bands)
+    kept = corpus_pipeline.drop_near_duplicates(spark, make(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_odd_rows_pass_all_stages(spark, odd, none, tmp_path):
     docs = odd.withColumn("lang", langid.F.lit("en"))
     for _, step in corpus_pipeline.STAGES:
