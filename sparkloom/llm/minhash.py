@@ -228,6 +228,12 @@ def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _only(sets: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The sets of these nodes, written once, so that what is joined to them later does not shuffle all sets each time."""
+    wanted = stage(nodes.select("node").distinct(), "minhash-wanted")
+    return stage(sets.join(_few(wanted, most), "node", "left_semi"), "minhash-sets")
+
+
 def _placed(member: DataFrame, roots: DataFrame) -> DataFrame:
     """The members (bucket, node, ...) of buckets with more than one class, with their roots and their number m there."""
     placed = member.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -235,16 +241,14 @@ def _placed(member: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed.select("bucket", "m"), "bucket")
 
 
-def _able(mixed: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The (bucket, node, rank) that may still have a link to another text of their bucket; rank is the share of a text's elements that others have.
+def _able(mixed: DataFrame, near: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The (bucket, node, rank) of mixed, whose sets are near, that may still have a link to another text of their bucket; rank is the share of a text's elements that others have.
     And (node, alone): the elements no other has.
 
     Linked sets x and y share s / (1 + s) (|x| + |y|) elements at least, and what x shares stands in another text, too. So a
     text whose elements that stand in others are fewer than that, with the least y of its bucket, has no link there: of many copies
     with changes of their own, those with too many go here, each by itself, without looking at pairs.
     """
-    near = sets.join(mixed.select("node").distinct(), "node")
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -479,9 +483,11 @@ def near_classes(
     tested = stage(member.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "minhash-pairs")
     roots = components(_linked(tested, sets, similarity))
     mixed = stage(_placed(member.select("bucket", "node"), roots).select("bucket", "node"), "minhash-mixed")
+    sets = _only(sets, mixed, broadcast_rows)
     able, alone = _able(mixed, sets, similarity)
     able = stage(able, "minhash-able")
     placed = stage(_placed(able, roots), "minhash-mixed")
+    sets = _only(sets, placed, broadcast_rows)
     few, many, found = placed.filter(F.col("m") <= orders.whole), placed.filter(F.col("m") > orders.whole), None
     if exact:
         other = placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -525,15 +531,35 @@ def near_duplicates(df: DataFrame, similarity: float = 0.8, *, id: str = "doc_id
     return out.select(F.col(id), F.coalesce("class_id", F.col(id)).alias("class_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
+PIECE = 1 << 15
+
+
+def _marks(rows: DataFrame, most: int = 1 << 28) -> tuple[DataFrame, int]:
+    """(place, bits) of rows (k: hashes): a bit is set for each hash, with 16 bits a row, or most in all, in pieces of PIECE; and the number of bits."""
+    size = min(most, PIECE * max(1, -(-16 * rows.count() // PIECE)))
+    at = F.pmod("k", F.lit(size))
+    return rows.groupBy(F.floor(at / PIECE).alias("place")).agg(F.bitmap_construct_agg(at % PIECE).alias("bits")), size
+
+
 def drop_near_duplicates(df: DataFrame, similarity: float = 0.8, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """df with one row of each class: that with the least id. Rows with a null text stay; other columns pass through."""
-    h, key = fresh(df, "h", "key")
-    keepers = near_classes(df, similarity, id=id, text=text, **how).filter("keeper").select(F.col("h").alias(h), F.col("class_id").alias(key))
-    hashed = df.withColumn(h, F.unhex(F.md5(F.col(text).cast("binary"))))
-    times = hashed.filter(F.col(text).isNotNull()).groupBy(h, F.col(id).alias(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(h, key).withColumn("again", F.lit(True))
-    keepers = keepers.join(times, (keepers[h] == times[h]) & keepers[key].eqNullSafe(times[key]), "left").select(keepers[h], keepers[key], F.coalesce("again", F.lit(False)).alias("again"))
-    keepers = keepers.select(F.col(h).alias(f"{h}_"), F.col(key).alias(f"{key}_"), F.col("again").alias(f"{key}_again"))
-    kept = hashed.join(keepers, (F.col(h) == F.col(f"{h}_")) & F.col(id).eqNullSafe(F.col(f"{key}_")))
-    once = kept.filter(~F.col(f"{key}_again")).select(*df.columns)
-    again = kept.filter(F.col(f"{key}_again")).dropDuplicates([h, id]).select(*df.columns)
-    return once.unionByName(again).unionByName(df.filter(F.col(text).isNull()))
+    """df with one row of each class: that with the least id. Rows with a null text stay; other columns pass through.
+
+    Rows that go or repeat id and text are marked in a broadcast table of bits, by a hash. A row without a mark stays, and
+    is not shuffled; those with one, among them a few by chance, are joined to the kept ones.
+    """
+    h, key, n, stays, k, place, bits = fresh(df, "h", "key", "n", "stays", "k", "place", "bits")
+    keepers = near_classes(df, similarity, id=id, text=text, **how).filter("keeper").select(F.col("h").alias(f"{h}_"), F.col("class_id").alias(f"{key}_"), F.lit(True).alias(stays))
+    hashed = df.withColumn(h, F.unhex(F.md5(F.col(text).cast("binary")))).withColumn(k, F.xxhash64(h, id))
+    times = hashed.filter(F.col(h).isNotNull()).groupBy(h, F.col(id).alias(key)).agg(F.count(F.lit(1)).alias(n))
+    judged = times.join(keepers, (F.col(h) == F.col(f"{h}_")) & F.col(key).eqNullSafe(F.col(f"{key}_")), "left")
+    judged = stage(judged.select(F.col(h).alias(f"{h}_"), F.col(key).alias(f"{key}_"), n, stays), "minhash-judged")
+    marks, size = _marks(judged.filter(F.col(stays).isNull() | (F.col(n) > 1)).select(F.xxhash64(f"{h}_", f"{key}_").alias("k")))
+    at = F.pmod(k, F.lit(size))
+    marked = hashed.withColumn(place, F.floor(at / PIECE)).join(F.broadcast(marks.toDF(place, bits)), place, "left")
+    byte = F.conv(F.hex(F.substring(bits, (at % PIECE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    unmarked = marked.filter(F.col(h).isNull() | ~hit).select(*df.columns)
+    kept = marked.filter(hit).join(judged.filter(stays), (F.col(h) == F.col(f"{h}_")) & F.col(id).eqNullSafe(F.col(f"{key}_")))
+    once = kept.filter(F.col(n) == 1).select(*df.columns)
+    again = kept.filter(F.col(n) > 1).dropDuplicates([h, id]).select(*df.columns)
+    return unmarked.unionByName(once).unionByName(again)

@@ -78,7 +78,7 @@ def targets(sizes: DataFrame, recipe: Recipe) -> DataFrame:
     return ranked.select("source", "source_size", "rank", target.alias("target"))
 
 
-def mix_plan(df: DataFrame, recipe: Recipe = Recipe(), *, id: str = "doc_id", text: str = "text", source: str = "source", prefix: str = "mix_") -> DataFrame:
+def mix_plan(df: DataFrame, recipe: Recipe = Recipe(), *, id: str = "doc_id", text: str = "text", source: str = "source", prefix: str = "mix_", broadcast_rows: int = 200_000) -> DataFrame:
     """df with what the mix takes of each row: prefix + size, source_size, target, positions, lengths, taken; columns of these names are replaced.
 
     A source's rows stand in a hashed order, and its words, one after another, again from the
@@ -88,6 +88,7 @@ def mix_plan(df: DataFrame, recipe: Recipe = Recipe(), *, id: str = "doc_id", te
 
     The order is cut into slices by the hash. Slices' totals give each slice its offset, and
     a window runs within a slice, so a source with most of the rows is spread over all tasks.
+    Up to broadcast_rows offsets are broadcast, so that rows are shuffled once; more are joined by a shuffle.
     Rows alike in id, source and text may stand for one another; reruns agree.
 
     A null text has size 0; a null source is a source of its own, last in order; null ids are
@@ -106,6 +107,8 @@ def mix_plan(df: DataFrame, recipe: Recipe = Recipe(), *, id: str = "doc_id", te
     offsets = offsets.join(wanted, F.col("source").eqNullSafe(F.col("of"))).select(
         F.col("source").alias(h), F.col("slice").alias(off), F.struct("offset", "source_size", "rank", "target").alias(end)
     )
+    if totals.count() <= broadcast_rows:
+        offsets = F.broadcast(offsets)
     within = Window.partitionBy(source, slice_).orderBy(order, id, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn(order, F.sum(size).over(within) - F.col(size))
     placed = placed.join(offsets, F.col(source).eqNullSafe(F.col(h)) & (F.col(slice_) == F.col(off)))
