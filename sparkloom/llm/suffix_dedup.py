@@ -27,6 +27,7 @@ _PLACE = _U((1 << 20) - 1)
 _LONGEST = 4097
 _CHUNK = (1 << 20) - _LONGEST + 1
 _FIRST = 7
+_ROWS = 1000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -116,31 +117,36 @@ class EnhancedSuffixArray:
         self.base = np.cumsum(lengths) - lengths
         self.data = np.frombuffer(b"".join(strings), np.uint8)
         n = len(self.data)
-        self.string = np.repeat(np.arange(len(strings)), lengths)
-        self.stop = np.repeat(self.base + lengths, lengths)
-        place = np.arange(n)
+        self.kind = np.int32 if n < 1 << 31 else np.int64
+        self.string = np.repeat(np.arange(len(strings), dtype=self.kind), lengths)
+        self.stop = np.repeat((self.base + lengths).astype(self.kind), lengths)
+        place = np.arange(n, dtype=self.kind)
         key = np.zeros(n, _U)
         for k in range(_FIRST):
             inside = place + k < self.stop
             key = key << _U(9) | np.where(inside, self.data[np.minimum(place + k, n - 1)].astype(_U) + _U(1), _U(0))
-        self.ranks = [np.unique(key, return_inverse=True)[1] + 1]
+        self.ranks = [self._ranked(key)]
+        del key
         self.levels = [_FIRST]
         while self.levels[-1] < lengths.max():
             step = self.levels[-1]
             self.levels.append(2 * step)
             inside = place + step < self.stop
             after = np.where(inside, self.ranks[-1][np.minimum(place + step, n - 1)], 0)
-            self.ranks.append(np.unique(self.ranks[-1] * (n + 1) + after, return_inverse=True)[1] + 1)
-        starts = np.flatnonzero(self.stop - place >= least)
+            self.ranks.append(self._ranked(self.ranks[-1].astype(np.int64) * (n + 1) + after))
+        starts = np.flatnonzero(self.stop - place >= least).astype(self.kind)
         of = group[self.string[starts]]
         self.suffix = starts[np.lexsort((self.ranks[-1][starts], of))]
         self.of = group[self.string[self.suffix]]
         self.lcp = self._common(self.suffix[:-1], self.suffix[1:])
         self.lcp[self.of[1:] != self.of[:-1]] = 0
 
+    def _ranked(self, key: np.ndarray) -> np.ndarray:
+        return np.unique(key, return_inverse=True)[1].astype(self.kind) + self.kind(1)
+
     def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         n, room = len(self.data), np.minimum(self.stop[p] - p, self.stop[q] - q)
-        done = np.zeros(len(p), np.int64)
+        done = np.zeros(len(p), self.kind)
         for level, ranks in zip(reversed(self.levels), reversed(self.ranks), strict=True):
             same = (done + level <= room) & (ranks[np.minimum(p + done, n - 1)] == ranks[np.minimum(q + done, n - 1)])
             done = np.where(same, done + level, done)
@@ -179,7 +185,10 @@ class EnhancedSuffixArray:
 
 
 def _by_anchor(members: DataFrame, least: int, work, schema: str) -> DataFrame:
-    """work(rows, suffix array) on the segments (anchor, content, bytes) of whole anchors, some thousand at a time."""
+    """work(rows, suffix array) on the segments (anchor, content, bytes) of whole anchors, up to _ROWS at a time, or one anchor if that has more.
+
+    An array and its work take some 100 bytes a byte of its segments, so this is what bounds a worker's memory, however many rows a batch has.
+    """
 
     def arrayed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["anchor", "content"]).reset_index(drop=True)
@@ -187,18 +196,23 @@ def _by_anchor(members: DataFrame, least: int, work, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []
-        rows = 0
         for batch in batches:
+            if not len(batch):
+                continue
             waiting.append(batch)
-            rows += len(batch)
-            if rows >= 3000:
-                whole = pd.concat(waiting, ignore_index=True)
-                open_ = whole["anchor"] == whole["anchor"].iloc[-1]  # more of it may follow
-                if not open_.all():
-                    yield arrayed(whole[~open_])
-                    waiting = [whole[open_]]
-                    rows = int(open_.sum())
-        if rows:
+            if batch["anchor"].iloc[-1] == waiting[0]["anchor"].iloc[0]:
+                continue  # one anchor so far, and more of it may follow
+            whole = pd.concat(waiting, ignore_index=True)
+            anchors = whole["anchor"].to_numpy()
+            starts = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
+            at, last = 0, int(starts[-1])
+            while at < last:
+                most = np.searchsorted(starts, at + _ROWS, side="right") - 1
+                to = int(starts[max(most, np.searchsorted(starts, at, side="right"))])
+                yield arrayed(whole.iloc[at:to])
+                at = to
+            waiting = [whole.iloc[last:].copy()]
+        if waiting:
             yield arrayed(pd.concat(waiting, ignore_index=True))
 
     dealt = members.select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor")

@@ -1,7 +1,9 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sparkloom.llm import suffix_dedup
@@ -88,3 +90,26 @@ def test_odd_rows(odd, none):
     long = [r for r in suffix_dedup.remove_repeats(odd).collect() if r.doc_id == 7]
     assert (long[0].n_bytes, long[0].n_removed, long[0].n_spans) == (300000, 300000, 1)
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_arrays_are_small_whatever_a_batch_holds(spark):
+    rows = [(a, c, bytes([65 + a % 26]) * 9) for a in range(900) for c in range(1500 if a == 400 else a % 11 + 1)]
+    members = spark.createDataFrame(rows, "anchor long, content long, bytes binary")
+
+    def work(rows, array):
+        return pd.DataFrame({"anchor": rows["anchor"].unique(), "rows": len(rows), "held": len(array.base)})
+
+    found = suffix_dedup._by_anchor(members, 3, work, "anchor long, rows long, held long").collect()
+    assert sorted(r.anchor for r in found) == list(range(900))  # each anchor as a whole in one array
+    assert sum({(r.rows, r.held): r.rows for r in found if r.anchor == 400}.values()) == 1500
+    assert all(r.rows == r.held <= 1000 for r in found if r.anchor != 400)
+
+
+def test_memory_of_a_suffix_array():
+    rng = np.random.default_rng(5)
+    strings = [rng.integers(97, 123, 300, np.uint8).tobytes() for _ in range(1000)]
+    tracemalloc.start()
+    array = EnhancedSuffixArray(strings, np.zeros(1000, np.int64), 200)
+    took, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 60 * len(array.data) and most < 110 * len(array.data)
