@@ -16,7 +16,7 @@ from .shared import stage, unit
 
 # Odd multipliers of the filter's hashes.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 
 
 def _fold_table() -> np.ndarray:

@@ -8,6 +8,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import stage, worker_cache
 
-_FULL = 1_200_000
+_FULL = 300_000
 # What the vocabulary's file says of splitting a lower-cased text into pieces; white space is dropped.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
@@ -30,8 +31,8 @@ class WordEncoder:
     """A tokenizer's ids of a text, as unsigned 16- or 32-bit little-endian bytes.
 
     The file's normalizer (NFC, blanks, lower case) and splitter are followed here, by the same pattern, and each new
-    piece is encoded by the library's model once and kept; at _FULL pieces the store starts anew, so memory is
-    bounded. Texts for which that isn't sure to be the same go through the library whole, and so do all if the file's
+    piece is encoded by the library's model once and kept; at _FULL pieces the first half stays, where the frequent ones are, so memory is
+    bounded (some 150 bytes a piece, also while a worker waits for its next task). Texts for which that isn't sure to be the same go through the library whole, and so do all if the file's
     pattern is another.
     """
 
@@ -71,7 +72,7 @@ class WordEncoder:
         else:
             return self._whole(text)
         if len(self.pieces) > _FULL:
-            self.pieces = {}
+            self.pieces = dict(islice(self.pieces.items(), _FULL // 2))
         known = self.pieces
         try:
             return b"".join([known[p] for p in found])

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -55,3 +56,12 @@ def test_a_long_text_counts_whole(spark, filters, documents):
     en = next(r.text for r in documents.filter("lang = 'en'").collect())
     df = spark.createDataFrame([(en + fr * 10,)], "text string")
     assert langid.identify(df, filters).first().lang_pred == "fr"
+
+
+def test_memory_of_a_prediction(filters):
+    texts = ["Long texts are read a bounded part at a time. " * 70] * 500
+    tracemalloc.start()
+    filters.predict(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6

@@ -74,3 +74,14 @@ def test_sequences_are_padded(documents, encoder):
     assert all(len(r.ids) == 4096 for r in rows) and len(ids) - want < 4096
     few = packing.pack(documents.limit(0).unionByName(documents.sparkSession.createDataFrame([(1, "a b c", "en", "s", 5)], documents.schema)), queries.word_tokenizer(), with_ids=True)
     assert [len(r.ids) for r in packing.sequences(few).collect()] == [4]
+
+
+def test_the_store_of_pieces_is_small():
+    encoder = packing.WordEncoder(queries.word_tokenizer())
+    texts = [" ".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676 % 26)}{chr(97 + n // 17576 % 26)}" for n in range(at, at + 1000)) for at in range(0, 450_000, 1000)]
+    first = [encoder.encode(t) for t in texts[:20]]
+    for t in texts:
+        encoder.encode(t)
+    assert len(encoder.pieces) <= 301_000
+    assert [encoder.encode(t) for t in texts[:20]] == first == [encoder._whole(t) for t in texts[:20]]
+    assert encoder.encode(texts[400]) == encoder._whole(texts[400])
