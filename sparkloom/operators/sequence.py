@@ -1,25 +1,49 @@
-"""Token sequences: chunks, segments, padding, lengths. All on arrays, without UDFs."""
+"""Token sequences: chunks, segments, padding, lengths. All on arrays; only the tokenizer is an Arrow function."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import arrow
 from ..functions.hashing import below, draw, uniform
 from .ordering import number
 
 PAD, EOS, UNK = 0, 1, 2
 MAX_CHUNK = 65536
 BATCH_ROWS = 128
+KEPT = 100_000  # words whose ids a task keeps
 
 
 def word_ids(text: Column, *, size: int = 32000) -> Column:
-    """A vocabulary-free tokenizer: blank-separated words to ids from 3 on by a hash, with EOS at the end (also of an empty text)."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != "")
-    return F.array_append(F.transform(words, lambda w: (below(size - 3, "word", w) + 3).cast("int")), F.lit(EOS))
+    """A vocabulary-free tokenizer: blank-separated words to ids from 3 on by a hash, with EOS at the end (also of an empty text).
+
+    A part's different words are hashed once, and a task keeps the ids of words it has seen.
+    """
+
+    def make(word: bytes) -> int:
+        return int(md5(b"word:" + word, usedforsecurity=False).hexdigest()[:15], 16) % (size - 3) + 3 if word else -1
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for part in arrow.parts(batch):
+                offsets, words = arrow.opened(pc.split_pattern(pc.fill_null(part, ""), " "))
+                indices, table = arrow.by_value(words, known, make, KEPT)
+                table = np.array(table, np.int32)
+                yield arrow.closed(*arrow.spread(offsets, indices, (table > 0).astype(np.int64), table[table > 0], [EOS]))
+
+    return run(text)
 
 
 def random_chunk(tokens: Column, longest: int | None, key: Column, *, seed: int | str = 0, uniform_start: bool = False) -> Column:
@@ -83,7 +107,8 @@ def split_tokens(
     every batch. A batch has batch_rows rows at most, so its group is bounded. A batch without tokens gives no segment; null arrays are empty.
     """
     numbered = number(df.select(key, tokens), F.col(key), name="__row")
-    bare = F.filter(drop_last(F.coalesce(F.col(tokens), F.array().cast("array<int>"))), lambda t: t != pad)
+    bare = drop_last(F.coalesce(F.col(tokens), F.array().cast("array<int>")))
+    bare = F.filter(bare, lambda t: t != pad) if df.schema[tokens].dataType.containsNull else F.array_remove(bare, pad)
     rows = numbered.select(F.floor((F.col("__row") - 1) / batch_rows).alias("batch_id"), "__row", bare.alias("__ids"))
     # A set number of partitions: what follows is heavy for its bytes, by which adaptive execution would merge them.
     rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_id")
@@ -94,10 +119,14 @@ def split_tokens(
     return out.filter(F.size("input_ids") == longest) if drop_last_segment else out
 
 
-def prepare(df: DataFrame, tokens: str, key: str, input_length: int, *, seed: int | str = 0, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Tokenised rows to training segments: a random chunk of each row, then split_tokens. Only (batch_id, seg_id, input_ids) remain."""
+def prepare(df: DataFrame, tokens: str, key: str, input_length: int, *, seed: int | str = 0, batch_rows: int = BATCH_ROWS, filled: bool = False) -> DataFrame:
+    """Tokenised rows to training segments: a random chunk of each row, then split_tokens. Only (batch_id, seg_id, input_ids) remain.
+
+    filled says that every row has tokens, as word_ids gives: then rows are numbered by their keys alone, and each is tokenised once.
+    """
     chunked = df.select(F.col(key), random_chunk(F.col(tokens), MAX_CHUNK, F.col(key), seed=seed).alias("__chunk"))
-    chunked = filter_empty(chunked, "__chunk")
+    if not filled:
+        chunked = filter_empty(chunked, "__chunk")
     return split_tokens(chunked, "__chunk", key, input_length, batch_rows=batch_rows, seed=seed)
 
 

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,17 @@ def test_shift_and_width_check(spark):
 def test_encode_input_of_short_texts(spark):
     df = arrays(spark, [(1, list(range(3, 9))), (2, list(range(3, 60)))])
     assert {r.k: r.ok for r in noise.encode_input(df, "t", F.col("k"), 100).collect()} == {1: False, 2: True}
+
+
+def test_rows_are_tokenised_once(spark):
+    """Numbering, over several slices too, reads no tokens where each row is said to have some."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<int>")
+    def ids(keys: pd.Series) -> pd.Series:
+        seen.add(len(keys))
+        return keys.map(lambda k: [k + 3] * 4 + [1])
+
+    df = spark.range(40_000).select(F.col("id").alias("k"), ids("id").alias("t"))
+    assert sequence.prepare(df, "t", "k", 4, filled=True).count() == 40_000
+    assert seen.value == 40_000
