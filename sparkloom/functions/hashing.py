@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 DRAW_BITS = 60
 
 
+def label(*parts: Column | str | int) -> Column:
+    """The string that a draw is the hash of."""
+    columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+
+
 def draw(*parts: Column | str | int) -> Column:
     """A uniform integer in [0, 2^60) of the parts: strings and integers are literals, columns are keys."""
-    columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    text = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(label(*parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(*parts: Column | str | int) -> Column:

@@ -1,23 +1,24 @@
-"""Span corruption on arrays: native expressions, one row at a time, no shuffle."""
+"""Span corruption on arrays: one row by itself, no shuffle. Draws and spans are made by Arrow functions, many rows at a time (lambdas of Spark take them element by element)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import draw
+from ..functions import arrow
+from ..functions.hashing import label
+from . import spans as rows_of
 from .sequence import EOS, PAD
 
 IGNORED = -100
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: inside a lambda a column would be computed anew for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def noise_counts(length: Column, density: float, mean_span: float) -> tuple[Column, Column]:
     """(noise tokens, spans) of a length: rounded halves to even, noise within 1 and length - 1, spans 1 at least."""
     noise = F.greatest(F.least(F.bround(length * F.lit(density)).cast("int"), length - 1), F.lit(1))
@@ -25,15 +26,30 @@ def noise_counts(length: Column, density: float, mean_span: float) -> tuple[Colu
     return noise, spans
 
 
+def _numbers(array: pa.Array, default: int = 0) -> np.ndarray:
+    return pc.fill_null(array, default).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _labels(array: pa.Array) -> list[bytes]:
+    return array.cast(pa.binary()).to_pylist()
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _segmentation(items: pa.Array, pieces: pa.Array, labels: pa.Array) -> pa.Array:
+    out, names = [None] * len(items), _labels(labels)
+    none = arrow.nulls(items)
+    for (n, k), rows in rows_of.alike(_numbers(items), _numbers(pieces, 1)):
+        for i, ends in zip(rows.tolist(), rows_of.compositions(n, k, [names[i] for i in rows]).tolist(), strict=True):
+            out[i] = None if none[i] else ends
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def segmentation(items: Column, parts: Column, *key: Column | str | int) -> Column:
     """A drawn composition: the end of each of parts segments of items, each composition as likely as another.
 
     Of the items - 1 places between items the parts - 1 with the least hashes are cut.
     """
-    slots = F.when(items > 1, F.sequence(F.lit(1), items - 1)).otherwise(F.array().cast("array<int>"))
-    ranked = F.array_sort(F.transform(slots, lambda i: F.struct(draw(*key, i).alias("h"), i.alias("i"))))
-    cuts = F.array_sort(F.transform(F.slice(ranked, F.lit(1), F.greatest(parts - 1, F.lit(0))), lambda s: s["i"]))
-    return F.array_append(cuts, items.cast("int"))
+    return _segmentation(items, parts, label(*key))
 
 
 def possible(length: Column, density: float = 0.15, mean_span: float = 3.0) -> Column:
@@ -42,42 +58,37 @@ def possible(length: Column, density: float = 0.15, mean_span: float = 3.0) -> C
     return (length > 1) & (spans <= length - noise)
 
 
-def span_ends(length: Column, density: float, mean_span: float, *key: Column | str | int) -> Column:
-    """struct(kept, noise): ends of the kept and of the noise segments, counted among kept and among noise tokens."""
-    noise, spans = noise_counts(length, density, mean_span)
-    return F.struct(segmentation(length - noise, spans, *key, "keep").alias("kept"), segmentation(noise, spans, *key, "noise").alias("noise"))
-
-
-def _before(ends: Column, j: Column) -> Column:
-    return F.when(j > 1, F.get(ends, j - 2)).otherwise(F.lit(0))
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _mask(length: pa.Array, noise: pa.Array, spans: pa.Array, labels: pa.Array) -> pa.Array:
+    offsets, mask, none = rows_of.masks(_numbers(length), _numbers(noise), _numbers(spans), _labels(labels))
+    none |= arrow.nulls(length)
+    if none.any():
+        mask = mask[~np.repeat(none, np.diff(offsets))]
+        offsets = np.concatenate([[0], np.cumsum(np.where(none, 0, np.diff(offsets)))])
+    return arrow.closed(offsets, mask, none)
 
 
 def noise_mask(length: Column, density: float, mean_span: float, *key: Column | str | int) -> Column:
-    """array<boolean>: kept and noise spans take turns, a kept one first."""
-
-    def spans(ends: Column) -> Column:
-        def span(j: Column) -> Column:
-            kept = F.get(ends["kept"], j - 1) - _before(ends["kept"], j)
-            noise = F.get(ends["noise"], j - 1) - _before(ends["noise"], j)
-            return F.concat(F.array_repeat(F.lit(False), kept), F.array_repeat(F.lit(True), noise))
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends["noise"])), span))
-
-    return let(span_ends(length, density, mean_span, *key), spans)
+    """array<boolean>: kept and noise spans take turns, a kept one first. Null where the spans kept are fewer than those of noise."""
+    return _mask(length, *noise_counts(length, density, mean_span), label(*key))
 
 
 def sentinels(tokens: Column, mask: Column, first_id: int, *, descending: bool = False) -> Column:
-    """tokens with each run of masked ones replaced by one sentinel: first_id, then up (or down) by one a run."""
-    zipped = F.zip_with(tokens, mask, lambda t, m: F.struct(t.alias("t"), m.alias("m")))
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(False).alias("last"), F.lit(0).alias("n"))
+    """tokens with each run of masked ones replaced by one sentinel: first_id, then up (or down) by one a run. Each token has its place in the mask; null if either is null."""
+    step = -1 if descending else 1
 
-    def step(acc: Column, x: Column) -> Column:
-        opens = x["m"] & ~acc["last"]
-        sentinel = F.lit(first_id) - acc["n"] if descending else F.lit(first_id) + acc["n"]
-        kept = F.when(opens, F.array_append(acc["out"], sentinel)).when(x["m"], acc["out"]).otherwise(F.array_append(acc["out"], x["t"].cast("int")))
-        return F.struct(kept.alias("out"), x["m"].alias("last"), (acc["n"] + opens.cast("int")).alias("n"))
+    @F.arrow_udf("array<int>")
+    def run(tokens: pa.Array, mask: pa.Array) -> pa.Array:
+        none = arrow.nulls(tokens) | arrow.nulls(mask)
+        if none.any():
+            keep = pa.array(~none)
+            tokens, mask = pc.if_else(keep, tokens, None), pc.if_else(keep, mask, None)
+        (offsets, ids), (places, masked) = arrow.opened(tokens), arrow.opened(mask)
+        if not np.array_equal(offsets, places):
+            raise ValueError("a mask must be as long as its tokens")
+        return arrow.closed(*rows_of.replaced(offsets, _numbers(ids), pc.fill_null(masked, False).to_numpy(zero_copy_only=False), first_id, step), none)
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return run(tokens.cast("array<int>"), mask)
 
 
 def flip(mask: Column) -> Column:
@@ -105,28 +116,24 @@ def corrupt(tokens: Column, first_id: int, *key: Column | str | int, density: fl
     Null where the length can't be corrupted (see possible).
     """
     length = F.size(tokens)
-
-    def sentinel(j: Column) -> Column:
-        return F.lit(first_id) - (j - 1) if descending else F.lit(first_id) + (j - 1)
-
-    def pair(x: Column) -> Column:
-        ids, kept, noise = x["ids"], x["ends"]["kept"], x["ends"]["noise"]
-
-        def kept_span(j: Column) -> Column:
-            low = _before(kept, j)
-            return F.slice(ids, low + _before(noise, j) + 1, F.get(kept, j - 1) - low)
-
-        def noise_span(j: Column) -> Column:
-            low = _before(noise, j)
-            return F.slice(ids, F.get(kept, j - 1) + low + 1, F.get(noise, j - 1) - low)
-
-        turns = F.sequence(F.lit(1), F.size(noise))
-        inputs = F.array_append(F.flatten(F.transform(turns, lambda j: F.array_append(kept_span(j), sentinel(j)))), F.lit(eos))
-        labels = F.array_append(F.flatten(F.transform(turns, lambda j: F.concat(F.array(sentinel(j)), noise_span(j)))), F.lit(eos))
-        return F.struct(inputs.alias("input_ids"), labels.alias("labels"))
-
-    whole = F.struct(tokens.cast("array<int>").alias("ids"), span_ends(length, density, mean_span, *key).alias("ends"))
-    return F.when(possible(length, density, mean_span), let(whole, pair))
+    step = -1 if descending else 1
+
+    @F.arrow_udf("struct<input_ids:array<int>,labels:array<int>>")
+    def run(tokens: pa.Array, noise: pa.Array, spans: pa.Array, labels: pa.Array) -> pa.Array:
+        offsets, ids = arrow.opened(tokens)
+        none = arrow.nulls(tokens)
+        ids, names = _numbers(ids), _labels(labels)
+        places, mask, _ = rows_of.masks(np.diff(offsets), _numbers(noise), _numbers(spans), names)
+        if not np.array_equal(offsets, places):
+            raise ValueError("a sequence was given that can't be corrupted")
+        both = [arrow.closed(*rows_of.ended(*rows_of.replaced(offsets, ids, m, first_id, step), eos)) for m in (mask, ~mask)]
+        return pa.StructArray.from_arrays(both, ["input_ids", "labels"], mask=pa.array(none))
+
+    able = possible(length, density, mean_span)
+    # What can't be corrupted is passed as one that can, and its result is dropped.
+    whole = F.when(able, tokens.cast("array<int>")).otherwise(F.array(F.lit(0), F.lit(0)))
+    counts = (F.when(able, c).otherwise(F.lit(1)) for c in noise_counts(length, density, mean_span))
+    return F.when(able, run(whole, *counts, label(*key)))
 
 
 def denoise(

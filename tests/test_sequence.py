@@ -1,3 +1,5 @@
+import hashlib
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,37 @@ def test_rows_are_tokenised_once(spark):
     df = spark.range(40_000).select(F.col("id").alias("k"), ids("id").alias("t"))
     assert sequence.prepare(df, "t", "k", 4, filled=True).count() == 40_000
     assert seen.value == 40_000
+
+
+def drawn(label, n):
+    return [int(hashlib.md5(f"{label}:{i}".encode()).hexdigest()[:15], 16) for i in range(1, n + 1)]
+
+
+def test_words_and_noise_by_their_definition(spark):
+    """Against each draw made by itself: ids of words, masks of many lengths, and both sides of corruption."""
+    texts = ["a b  c", "", None, " über a\nb x ", "z " * 999]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, s string")
+    want = {k: [int(hashlib.md5(f"word:{w}".encode()).hexdigest()[:15], 16) % 31997 + 3 for w in (t or "").split(" ") if w] + [1] for k, t in enumerate(texts)}
+    assert {r.k: r.i for r in df.select("k", sequence.word_ids(F.col("s")).alias("i")).collect()} == want
+    rows = spark.range(2, 90).select(F.col("id").alias("n"), F.sequence(F.lit(1), F.col("id").cast("int")).alias("t"))
+    mask = noise.noise_mask(F.col("n").cast("int"), 0.3, 2.0, 7, F.col("n"))
+    for r in noise.denoise(rows.withColumn("m", mask), "t", 500, 7, F.col("n"), density=0.3, mean_span=2.0).collect():
+        z = max(min(round(r.n * 0.3), r.n - 1), 1)
+        s = max(round(z / 2.0), 1)
+        ends = {}
+        for kind, items in (("keep", r.n - z), ("noise", z)):
+            h = drawn(f"7:{r.n}:{kind}", items - 1)
+            ends[kind] = [0, *sorted(sorted(range(1, items), key=lambda i, h=h: h[i - 1])[: s - 1]), items]
+        inputs, labels, wanted = [], [], []
+        for j in range(s):
+            k0, k1, z0, z1 = ends["keep"][j], ends["keep"][j + 1], ends["noise"][j], ends["noise"][j + 1]
+            inputs += [*range(k0 + z0 + 1, k1 + z0 + 1), 500 + j]
+            labels += [500 + j, *range(k1 + z0 + 1, k1 + z1 + 1)]
+            wanted += [False] * (k1 - k0) + [True] * (z1 - z0)
+        assert (r.m, r.input_ids, r.labels) == (wanted, [*inputs, 1], [*labels, 1])
+
+
+def test_sentinels_of_nulls_and_empty_rows(spark):
+    df = spark.createDataFrame([([1, 2], [True, True]), (None, [True]), ([], []), ([3], None), ([4, 5], [False, True])], "t array<int>, m array<boolean>")
+    assert one(df, noise.sentinels(F.col("t"), F.col("m"), 9)) == [[9], None, [], None, [4, 9]]
+    assert one(spark.range(1), noise.noise_mask(F.lit(3), 0.7, 1.0, F.col("id"))) == [None]
