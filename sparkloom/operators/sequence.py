@@ -35,11 +35,11 @@ def word_ids(text: Column, *, size: int = 32000) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[bytes, int] = {}
+        find = arrow.kept(make, KEPT)
         for batch in batches:
             for part in arrow.parts(batch):
                 offsets, words = arrow.opened(pc.split_pattern(pc.fill_null(part, ""), " "))
-                indices, table = arrow.by_value(words, known, make, KEPT)
+                indices, table = arrow.by_value(words, find)
                 table = np.array(table, np.int32)
                 yield arrow.closed(*arrow.spread(offsets, indices, (table > 0).astype(np.int64), table[table > 0], [EOS]))
 
